@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -100,3 +102,17 @@ def staged(df: DataFrame, folder: Folder, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on every executor, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerfold_shipped", False):
+        return
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="ledgerfold-"), "ledgerfold.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._ledgerfold_shipped = True

@@ -10,7 +10,7 @@ from ..operators import compare, skew
 from ..operators.change_feed import FeedTable, live_values
 from ..operators.dedup import DedupStore
 from ..operators.incremental import IncrementalStore, outstanding
-from ..session import table, work_folder
+from ..session import staged, table, work_folder
 
 
 def arrival_halves(log: DataFrame) -> list[DataFrame]:
@@ -46,7 +46,8 @@ KEYS = ["rec_kind", "ns_name", "key"]
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = key_rows(spark, sf_dir, lambda v: F.xxhash64(v))
-    results = skew.per_key(rows, KEYS, "value", ["entry_no"])
+    # one row per key, written once: the totals and the keys' own counts are both taken from it
+    results = staged(skew.per_key(rows, KEYS, "value", ["entry_no"]), work_folder(spark, "p2"), "keys")
     return skew.heavy(results, 50, ["rec_kind"]).where("key IS NOT NULL").select("rec_kind", "ns_name", F.hex("key").alias("key_hex"))
 
 

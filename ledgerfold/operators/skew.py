@@ -50,7 +50,7 @@ def block_offsets(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
     before = W.partitionBy(*keys).orderBy("_path", BLOCK).rowsBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint"))
-    return counts.select(*keys, F.col("_file").alias(FILE), BLOCK, "n", offset.alias("offset"))
+    return counts.select(*keys, F.col("_file").alias(FILE), BLOCK, "n", offset.alias("_offset"))
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -61,10 +61,10 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str] | None = None, c
     names = {k: f"_k{i}" for i, k in enumerate([*keys, FILE, BLOCK])}
     within = W.partitionBy(*keys, FILE, BLOCK).orderBy(POS, *(order or []))
     first = _slim(rows).withColumn("_within", F.row_number().over(within) - 1)
-    o = block_offsets(rows, keys).select(*[F.col(k).alias(n) for k, n in names.items()], "offset")
+    o = block_offsets(rows, keys).select(*[F.col(k).alias(n) for k, n in names.items()], "_offset")
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
-    out = first.join(o, same).withColumn(NUMBER, F.col("offset") + F.col("_within"))
-    return out.withColumn(CHUNK, F.floor(F.col(NUMBER) / chunk_rows)).drop(*names.values(), "offset", "_within")
+    out = first.join(o, same).withColumn(NUMBER, F.col("_offset") + F.col("_within"))
+    return out.withColumn(CHUNK, F.floor(F.col(NUMBER) / chunk_rows)).drop(*names.values(), "_offset", "_within")
 
 
 def chunk_states(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

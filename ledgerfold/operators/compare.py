@@ -7,18 +7,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-
-def _blank(kind: T.DataType) -> Column:
-    """A stand-in for null in a key column; whether the key was null stands beside it."""
-    if isinstance(kind, T.BinaryType):
-        return F.unhex(F.lit(""))
-    if isinstance(kind, T.StringType):
-        return F.lit("")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.lit("1970-01-01").cast(kind)
-    if isinstance(kind, T.BooleanType):
-        return F.lit(False)
-    return F.lit(0).cast(kind)
+from ..functions import nulls
 
 
 def one_per_key(rows: DataFrame, keys: list[str], fields: list[str], mark: str) -> DataFrame:
@@ -28,10 +17,8 @@ def one_per_key(rows: DataFrame, keys: list[str], fields: list[str], mark: str)
     lowest. The aggregation combines before it shuffles, so a key with many repeats is no hot spot, and it leaves
     the rows where the join needs them.
     """
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    join_keys = [x for i, k in enumerate(keys) for x in (F.col(k).isNull().alias(f"_n{i}"), F.coalesce(F.col(k), _blank(kinds[k])).alias(f"_k{i}"))]
     ranked = F.struct(*[x for i, f in enumerate(fields) for x in (F.col(f).isNotNull().alias(f"h{i}"), F.col(f).alias(f"v{i}"))])
-    grouped = rows.select(*join_keys, ranked.alias("r")).groupBy(*[n for i in range(len(keys)) for n in (f"_n{i}", f"_k{i}")])
+    grouped = rows.select(*nulls.split(rows, keys), ranked.alias("r")).groupBy(*nulls.names(keys))
     return grouped.agg(F.max("r").alias("_best")).select("*", F.struct(*[F.col(f"_best.v{i}").alias(f"v{i}") for i in range(len(fields))]).alias(mark)).drop("_best")
 
 
@@ -52,9 +39,8 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     for df, mark in ((left, "l"), (right, "r")):
         df = df.select(*keys, *[normalise[f].alias(f) if f in normalise else F.col(f) for f in fields])
         sides.append(one_per_key(df, keys, fields, mark))
-    names = [n for i in range(len(keys)) for n in (f"_n{i}", f"_k{i}")]
     kinds = {f.name: f.dataType for f in left.select(*keys, *[normalise[f].alias(f) if f in normalise else F.col(f) for f in fields]).schema.fields}
-    joined = sides[0].join(sides[1], names, "full_outer")
+    joined = sides[0].join(sides[1], nulls.names(keys), "full_outer")
     both = F.col("l").isNotNull() & F.col("r").isNotNull()
     each = [
         F.when(
@@ -70,7 +56,7 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     unequal = reduce(and_, (F.col(f"l.v{i}").eqNullSafe(F.col(f"r.v{i}")) for i in range(len(fields))))
     diffs = F.when(both, F.array_compact(F.array(*each))).otherwise(F.filter(F.array(*each), lambda _: F.lit(False)))
     return joined.where(~both | ~unequal).select(
-        *[F.when(~F.col(f"_n{i}"), F.col(f"_k{i}")).alias(k) for i, k in enumerate(keys)],
+        *nulls.joined(keys),
         F.col("l").isNotNull().alias("in_left"),
         F.col("r").isNotNull().alias("in_right"),
         diffs.alias("diffs"),

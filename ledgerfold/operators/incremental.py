@@ -96,7 +96,8 @@ def marks_of(requests: DataFrame, bounds: DataFrame) -> DataFrame:
         F.min("start_lsn").alias("lo"), F.max("latest_lsn").alias("hi"), F.bool_or(F.col("start_lsn").isNull()).alias("from_first")
     )
     held = bounds.select(F.col("ns_name").alias("b_ns"), "first_lsn", "last_lsn")
-    return asked.join(held, F.col("ns_name").eqNullSafe(F.col("b_ns"))).select(
+    # least and greatest skip nulls, so a follower none of whose requests has an upper limit is left out first
+    return asked.where("hi IS NOT NULL").join(held, F.col("ns_name").eqNullSafe(F.col("b_ns"))).select(
         "consumer_id",
         "ns_name",
         F.when(F.col("from_first") | F.col("lo").isNull(), F.col("first_lsn")).otherwise(F.greatest("lo", "first_lsn")).alias("lo"),

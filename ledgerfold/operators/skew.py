@@ -12,11 +12,10 @@ block or chunk of a key.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import nulls
+
 BLOCK_ROWS = 1 << 17
 CHUNK_ROWS = 1 << 16
 
@@ -50,21 +49,22 @@ def block_offsets(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
     before = W.partitionBy(*keys).orderBy("_path", BLOCK).rowsBetween(W.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint"))
-    return counts.select(*keys, F.col("_file").alias(FILE), BLOCK, "n", offset.alias("_offset"))
+    return counts.select(*keys, F.col("_file").alias(FILE), BLOCK, "n", offset.alias("_skew_offset"))
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """rows of positioned(), with the number of each row among the rows of its key, from 0, and its chunk.
 
-    order: columns besides the place that order rows which came from one input row. Null keys are keys.
+    order: columns besides the place that order rows which came from one input row. Null keys are keys. The rows are
+    shuffled once, by key and block, for the numbers in the block and the offsets alike.
     """
-    names = {k: f"_k{i}" for i, k in enumerate([*keys, FILE, BLOCK])}
-    within = W.partitionBy(*keys, FILE, BLOCK).orderBy(POS, *(order or []))
-    first = _slim(rows).withColumn("_within", F.row_number().over(within) - 1)
-    o = block_offsets(rows, keys).select(*[F.col(k).alias(n) for k, n in names.items()], "_offset")
-    same = reduce(and_, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
-    out = first.join(o, same).withColumn(NUMBER, F.col("_offset") + F.col("_within"))
-    return out.withColumn(CHUNK, F.floor(F.col(NUMBER) / chunk_rows)).drop(*names.values(), "_offset", "_within")
+    rest = [c for c in rows.columns if c not in keys]
+    place = [*nulls.names(keys), FILE, BLOCK]
+    own = rows.select(*nulls.split(rows, keys), *rest)
+    within = W.partitionBy(*place).orderBy(POS, *(order or []))
+    first = _slim(own).withColumn("_skew_within", F.row_number().over(within) - 1)
+    out = first.join(block_offsets(own, nulls.names(keys)).drop("n"), place).withColumn(NUMBER, F.col("_skew_offset") + F.col("_skew_within"))
+    return out.withColumn(CHUNK, F.floor(F.col(NUMBER) / chunk_rows)).select(*nulls.joined(keys), *rest, NUMBER, CHUNK)
 
 
 def chunk_states(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -4,19 +4,23 @@ Each batch of log records is appended as immutable images. An index from key to
 images that the batch supersedes; their positions go into one bitmap per file and 32,768 rows. A read scans
 the images and leaves out the positions whose bit is set, so nothing is rewritten.
 
-Layout of the folder, every part written before the commit that names it:
-  data/epoch=E      images (ns_name, entry_type, entry_key, part, value, kind, commit_lsn, lsn, entry_no)
-  index/epoch=E     for each key and part the place (file_no, row_pos) and order of its newest change
-  barriers/epoch=E  for each row or large object its last barrier
-  waiting/epoch=E   prepared entries whose transaction hasn't been committed yet
-  done/epoch=E      committed transactions, for entries that arrive after their commit
-  vectors/epoch=E   bits that this epoch sets: (file_no, bucket, bits)
-  commits/E.json    the epoch is there once this file is
+A batch writes in proportion to itself: images, index entries, barriers and bits of the keys it touches. Of the index it
+reads only the entries of these keys, by a semi-join on the batch's keys. compact() folds the pieces together from time to time.
+
+Parts, each a folder for each epoch; the manifest commits/E.json names the folders that make up the table at E:
+  data      images (ns_name, entry_type, entry_key, part, value, kind, commit_lsn, lsn, entry_no)
+  index     for keys touched the place (file_no, row_pos) and order of the newest change; later epochs outdo earlier ones
+  barriers  for rows and large objects touched the last barrier
+  waiting   prepared entries whose transaction hasn't been committed yet, all of them
+  done      committed transactions, for entries that arrive after their commit
+  vectors   bits that the epoch sets: (file_no, bucket, bits)
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..functions import bitmaps
 from ..session import BROADCAST_BYTES, Folder
@@ -25,9 +29,11 @@ from . import txn
 ID = ["ns_name", "entry_type", "entry_key", "part"]
 KEY = ID[:3]
 PLACE = ["file_no", "row_pos"]
+#: What makes an index entry the newest of its key and part: the order of the change, then the epoch that recorded it.
+NEWEST_COLUMNS = [*txn.ORDER, "epoch", "live", *PLACE]
 
 IMAGE = "ns_name string, entry_type string, entry_key binary, part string, value binary, kind string, commit_lsn bigint, lsn bigint, entry_no bigint"
-INDEX = "ns_name string, entry_type string, entry_key binary, part string, commit_lsn bigint, lsn bigint, entry_no bigint, live boolean, file_no bigint, row_pos bigint"
+INDEX = "ns_name string, entry_type string, entry_key binary, part string, commit_lsn bigint, lsn bigint, entry_no bigint, epoch bigint, live boolean, file_no bigint, row_pos bigint"
 BARRIER = "ns_name string, entry_type string, entry_key binary, bar struct<commit_lsn:bigint,lsn:bigint,entry_no:bigint>"
 WAITING = "ns_name string, lsn bigint, operation_type string, txn_state string, entry_type string, txn_id binary, entry_no bigint, entry_key binary, entry_value binary, cells map<string,binary>"
 DONE = "ns_name string, txn_id binary, commit_lsn bigint, commit_op string"
@@ -41,6 +47,9 @@ def file_no(epoch: Column, name: Column) -> Column:
     return F.shiftleft(epoch.cast("bigint"), 44) + F.shiftleft(task, 16) + piece
 
 
+PARTS = {"data": IMAGE, "index": INDEX, "barriers": BARRIER, "waiting": WAITING, "done": DONE, "vectors": VECTOR}
+
+
 class FeedTable:
     """Applies batches of log records in any order of arrival, and reads the state they leave.
 
@@ -55,103 +64,132 @@ class FeedTable:
     def epochs(self) -> list[int]:
         return sorted(int(n[:-5]) for n in self.folder.names("commits") if n.endswith(".json"))
 
-    def _table(self, name: str, schema: str, epochs: list[int]) -> DataFrame:
-        paths = [self.folder / f"{name}/epoch={e}" for e in epochs]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
+    def manifest(self) -> dict:
+        """The table's folders by part, as epochs, and how many delete vectors they have."""
+        done = self.epochs()
+        return self.folder.read_json(f"commits/{done[-1]}.json") if done else {"epoch": 0, "n_vectors": 0} | {p: [] for p in PARTS}
+
+    def _read(self, part: str, epochs: list[int]) -> DataFrame:
+        paths = [self.folder / f"{part}/epoch={e}" for e in epochs]
+        return self.spark.read.schema(PARTS[part]).parquet(*paths) if paths else self.spark.createDataFrame([], PARTS[part])
 
-    def _last(self, name: str, schema: str, epochs: list[int]) -> DataFrame:
-        return self._table(name, schema, epochs[-1:])
+    def _write(self, df: DataFrame, part: str, epoch: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.folder / f"{part}/epoch={epoch}")
+        return self._read(part, [epoch])
 
     def _images(self, epochs: list[int]) -> DataFrame:
         """The images with their places."""
         parts = [
-            self.spark.read.schema(IMAGE).parquet(self.folder / f"data/epoch={e}")
-            .select("*", file_no(F.lit(e), F.col("_metadata.file_name")).alias("file_no"), F.col("_metadata.row_index").alias("row_pos"))
+            self._read("data", [e]).select("*", file_no(F.lit(e), F.col("_metadata.file_name")).alias("file_no"), F.col("_metadata.row_index").alias("row_pos"))
             for e in epochs
-        ]
-        if not parts:
-            return self.spark.createDataFrame([], f"{IMAGE}, file_no bigint, row_pos bigint")
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    def _write(self, df: DataFrame, name: str, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(self.folder / f"{name}/epoch={epoch}")
+        ]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{IMAGE}, {', '.join(f'{c} bigint' for c in PLACE)}")
 
     def apply(self, log: DataFrame) -> int:
-        """Apply one batch of log records; returns its epoch. Nothing of it shows before its commit file is there,
+        """Apply one batch of log records; returns its epoch. Nothing of it shows before its manifest is there,
         and an epoch that failed is written anew by the next call."""
-        before = self.epochs()
-        epoch = (before[-1] if before else 0) + 1
+        before = self.manifest()
+        epoch = before["epoch"] + 1
         rows = txn.entries(log)
 
         # Transactions: entries wait until their commit is known; commits stay known for entries that come late.
-        known = self._last("done", DONE, before).unionByName(txn.commits(log))
-        known = known.groupBy("ns_name", "txn_id").agg(F.max(F.struct("commit_lsn", "commit_op")).alias("c")).select("ns_name", "txn_id", "c.*")
-        self._write(known, "done", epoch)
-        done = self._table("done", DONE, [epoch])
-        waiting = self._last("waiting", WAITING, before).unionByName(txn.prepared(rows))
+        own = self._write(txn.commits(log), "done", epoch)
+        done = self._read("done", before["done"]).unionByName(own) if before["done"] else own
+        done = done.groupBy("ns_name", "txn_id").agg(F.max(F.struct("commit_lsn", "commit_op")).alias("c")).select("ns_name", "txn_id", "c.*")
+        waiting = txn.prepared(rows)
+        if before["waiting"]:
+            waiting = waiting.unionByName(self._read("waiting", before["waiting"]))
         self._write(txn.invisible(waiting, done), "waiting", epoch)
 
         # Append the new images.
         changes = txn.units(txn.plain(rows).unionByName(txn.visible(waiting, done)))
         self._write(changes.select("ns_name", "entry_type", "entry_key", "part", "value", "kind", *txn.ORDER), "data", epoch)
 
-        # Find what is superseded: the newest change of each key, in the old index or the new images.
+        # Find what they supersede: the old entries of the keys they touch.
         placed = self._images([epoch]).drop("value")
-        old = self._last("index", INDEX, before)
-        bars = self._last("barriers", BARRIER, before).unionByName(txn.barriers(placed))
-        self._write(bars.groupBy(*KEY).agg(F.max("bar").alias("bar")), "barriers", epoch)
-        bars = self._table("barriers", BARRIER, [epoch])
-        changed = placed.where("kind <> 'bar'").select(*ID, *txn.ORDER, (F.col("kind") == "put").alias("live"), *PLACE)
-        newest = (
-            old.unionByName(changed)
-            .groupBy(*ID)
-            .agg(F.max(F.struct(*txn.ORDER, "live", *PLACE)).alias("n"))
-            .select(*ID, "n.*")
-        )
+        bars, old = txn.barriers(placed), None
+        if before["index"]:
+            keys = placed.select(*KEY).distinct()
+            old = touched(self._read("index", before["index"]), keys).groupBy(*ID).agg(F.max(F.struct(*NEWEST_COLUMNS)).alias("n")).select(*ID, "n.*")
+            bars = bars.unionByName(touched(self._read("barriers", before["barriers"]), keys))
+        bars = self._write(bars.groupBy(*KEY).agg(F.max("bar").alias("bar")), "barriers", epoch)
+        changed = placed.where("kind <> 'bar'").select(*ID, *txn.ORDER, F.lit(epoch).cast("bigint").alias("epoch"), (F.col("kind") == "put").alias("live"), *PLACE)
+        newest = (old.unionByName(changed) if old is not None else changed).groupBy(*ID).agg(F.max(F.struct(*NEWEST_COLUMNS)).alias("n")).select(*ID, "n.*")
         b = bars.select(*[F.col(c).alias(f"b_{c}") for c in KEY], "bar")
-        same = F.col("ns_name").eqNullSafe(F.col("b_ns_name")) & (F.col("entry_type") == F.col("b_entry_type")) & (F.col("entry_key") == F.col("b_entry_key"))
-        index = newest.join(b, same, "left").where(F.col("bar").isNull() | (txn.order_key() > F.col("bar"))).select(*ID, *txn.ORDER, "live", *PLACE)
-        self._write(index, "index", epoch)
-
-        # Set their bits: places that were live, or are new, and aren't live any more.
-        live = self._table("index", INDEX, [epoch]).where("live").select(*PLACE, F.lit(1).alias("stays"))
-        at_risk = old.where("live").select(*PLACE, F.lit(0).alias("stays")).unionByName(placed.select(*PLACE, F.lit(0).alias("stays")))
+        stays = F.col("live") & (F.col("bar").isNull() | (txn.order_key() > F.col("bar")))
+        index = newest.join(b, same_key("b_"), "left").select(*ID, *txn.ORDER, F.lit(epoch).cast("bigint").alias("epoch"), stays.alias("live"), *PLACE)
+        index = self._write(index, "index", epoch)
+
+        # Set their bits: places that were live, or are new, and aren't live now.
+        at_risk = placed.select(*PLACE, F.lit(0).alias("stays"))
+        if old is not None:
+            at_risk = at_risk.unionByName(old.where("live").select(*PLACE, F.lit(0).alias("stays")))
+        live = index.where("live").select(*PLACE, F.lit(1).alias("stays"))
         gone = at_risk.unionByName(live).groupBy(*PLACE).agg(F.max("stays").alias("stays")).where("stays = 0")
-        vectors = (
-            gone.groupBy("file_no", bitmaps.bucket(F.col("row_pos")).alias("bucket"))
-            .agg(F.bitmap_construct_agg(bitmaps.bit(F.col("row_pos"))).alias("bits"))
-        )
-        self._write(vectors, "vectors", epoch)
-        count = self._table("vectors", VECTOR, [epoch]).count()
-        self.folder.commit_json(f"commits/{epoch}.json", {"epoch": epoch, "vectors": count})
+        vectors = gone.groupBy("file_no", bitmaps.bucket(F.col("row_pos")).alias("bucket")).agg(F.bitmap_construct_agg(bitmaps.bit(F.col("row_pos"))).alias("bits"))
+        counted = Observation()
+        self._write(vectors.observe(counted, F.count(F.lit(1)).alias("n")), "vectors", epoch)
+        added = {p: [*before[p], epoch] for p in PARTS} | {"waiting": [epoch]}
+        self.folder.commit_json(f"commits/{epoch}.json", {"epoch": epoch, "n_vectors": before["n_vectors"] + counted.get["n"], **added})
         return epoch
 
     def vectors(self) -> DataFrame:
         """(file_no, bucket, bits): the delete vectors of all epochs, united."""
-        rows = self._table("vectors", VECTOR, self.epochs())
-        return rows.groupBy("file_no", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        return self._read("vectors", self.manifest()["vectors"]).groupBy("file_no", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
     def read(self) -> DataFrame:
         """The live images: (ns_name, entry_type, entry_key, part, value, commit_lsn, lsn, entry_no).
 
-        The delete vectors are broadcast if all of them together are below broadcast_bytes, as the commits count
+        The delete vectors are broadcast if all of them together are below broadcast_bytes, as the manifest counts
         them; else the join on (file_no, bucket) shuffles.
         """
-        epochs = self.epochs()
-        images = self._images(epochs).where("kind = 'put'")
+        now = self.manifest()
+        images = self._images(now["data"]).where("kind = 'put'")
         vectors = self.vectors().select(F.col("file_no").alias("v_file"), F.col("bucket").alias("v_bucket"), "bits")
-        size = sum(self.folder.read_json(f"commits/{e}.json")["vectors"] for e in epochs) * (bitmaps.BYTES + 32)
-        if size <= self.broadcast_bytes:
+        if now["n_vectors"] * (bitmaps.BYTES + 32) <= self.broadcast_bytes:
             vectors = F.broadcast(vectors)
         joined = images.join(vectors, (F.col("file_no") == F.col("v_file")) & (bitmaps.bucket(F.col("row_pos")) == F.col("v_bucket")), "left")
         dropped = F.coalesce(bitmaps.is_set(F.col("bits"), bitmaps.bit(F.col("row_pos"))), F.lit(False))
         return joined.where(~dropped).select(*ID, "value", *txn.ORDER)
 
+    def compact(self) -> int:
+        """Write the live images as one epoch without delete vectors, and the other parts folded together; returns the epoch.
+
+        Deletes and barriers stay known, for changes that are older and come later. Old folders are left for readers that
+        still use them; vacuum() removes them.
+        """
+        before = self.manifest()
+        epoch = before["epoch"] + 1
+        self._write(self.read().withColumn("kind", F.lit("put")).select("ns_name", "entry_type", "entry_key", "part", "value", "kind", *txn.ORDER), "data", epoch)
+        mark = F.lit(epoch).cast("bigint").alias("epoch")
+        live = self._images([epoch]).select(*ID, *txn.ORDER, mark, F.lit(True).alias("live"), *PLACE)
+        dead = self._read("index", before["index"]).groupBy(*ID).agg(F.max(F.struct(*NEWEST_COLUMNS)).alias("n")).select(*ID, "n.*").where("NOT live")
+        self._write(live.unionByName(dead.select(*ID, *txn.ORDER, mark, "live", *PLACE)), "index", epoch)
+        self._write(self._read("barriers", before["barriers"]).groupBy(*KEY).agg(F.max("bar").alias("bar")), "barriers", epoch)
+        self._write(self._read("waiting", before["waiting"]), "waiting", epoch)
+        done = self._read("done", before["done"]).groupBy("ns_name", "txn_id").agg(F.max(F.struct("commit_lsn", "commit_op")).alias("c"))
+        self._write(done.select("ns_name", "txn_id", "c.*"), "done", epoch)
+        self.folder.commit_json(f"commits/{epoch}.json", {"epoch": epoch, "n_vectors": 0} | {p: [epoch] for p in PARTS} | {"vectors": []})
+        return epoch
+
+    def vacuum(self) -> None:
+        """Remove the folders that the last manifest doesn't name."""
+        now = self.manifest()
+        for part in PARTS:
+            for name in self.folder.names(part):
+                if int(name.partition("=")[2]) not in now[part]:
+                    self.folder.delete(f"{part}/{name}")
+
+
+def same_key(prefix: str) -> Column:
+    ns, kind, key = (F.col(f"{prefix}{c}") for c in KEY)
+    return F.col("ns_name").eqNullSafe(ns) & (F.col("entry_type") == kind) & (F.col("entry_key") == key)
+
+
+def touched(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of the given keys. Spark broadcasts the keys if they are few, so the index isn't shuffled."""
+    return rows.join(keys.select(*[F.col(c).alias(f"t_{c}") for c in KEY]), same_key("t_"), "left_semi")
+
 
 def live_values(state: DataFrame) -> DataFrame:
     """The state as (ns_name, entry_type, key_hex, cell_name, lsn, entry_no); a large object gives its last chunk."""

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 def spark(tmp_path_factory):
     from ledgerfold.session import session
 
-    s = session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "3g", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
+    s = session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "3", "spark.driver.memory": "3g", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

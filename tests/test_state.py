@@ -73,15 +73,18 @@ def places(found):
     return {(r.ns_name, r.entry_type, bytes.fromhex(r.key_hex), r.cell_name): (r.lsn, r.entry_no) for r in found.collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [2, 3])
 def test_random_logs_in_batches(spark, seed):
-    """The table with delete vectors, fed in three batches of any order, equals the fold in Python and the batch fold."""
+    """The table with delete vectors, fed in batches of any order and compacted between, equals the fold in Python and the batch fold."""
     records = random_log(seed)
     wanted, objects = fold(records)
     feed = FeedTable(spark, work_folder(spark, "t").path, broadcast_bytes=0 if seed == 2 else 1 << 20)
     third = len(records) // 3
-    for part in (records[:third], records[third : 2 * third], records[2 * third :]):
+    for part in [records[:third], records[third : 2 * third], records[2 * third :]] if seed == 2 else [records[: 2 * third], records[2 * third :]]:
         feed.apply(spark.createDataFrame(part, LOG))
+        if seed == 3 and len(feed.epochs()) == 1:
+            feed.compact()
+            feed.vacuum()
     rows = live_values(feed.read()).collect()
     assert len(rows) == len({r[:4] for r in rows})
     assert places(live_values(feed.read())) == wanted

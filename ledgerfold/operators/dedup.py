@@ -2,14 +2,15 @@
 
 Identifiers are encoded exactly through a stored dictionary: (consumer_id, ns_name) becomes a code, and the
 message is (code, lsn). Messages settled so far are bits in bitmaps, one for each code and 32,768 LSNs, stored with
-zstd. A run picks one arrival for each message whose bit is unset, and unites the new bits with the old ones in
-the same commit that publishes its picks.
+zstd. A run picks one arrival for each message whose bit is unset, and adds its bits to the others in the same commit that
+publishes its picks.
 
 The copy that stays is the first undamaged one by (batch_id, rec_pos), or the first of all if every copy is damaged.
 A message of which only damaged copies have come is doubtful: its bit stays unset, and a later undamaged copy replaces
 the pick. Runs must take batches in order of batch_id. Records without lsn have no identifier and are never dropped.
 
-Folder: dictionary, seen, doubtful and kept, each by run, and commits/N.json.
+Folder: dictionary, seen and kept hold what each run adds, doubtful all that is doubtful; commits/N.json names the runs
+that make up each. A run reads only the bitmaps of the shards that it touches. compact() unites them.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ class DedupStore:
     def runs(self) -> list[int]:
         return sorted(int(n[:-5]) for n in self.folder.names("commits") if n.endswith(".json"))
 
+    def manifest(self) -> dict:
+        done = self.runs()
+        return self.folder.read_json(f"commits/{done[-1]}.json") if done else {"run": 0, "dictionary": [], "seen": [], "kept": [], "doubtful": []}
+
     def _read(self, name: str, schema: str, runs: list[int]) -> DataFrame:
         if not runs:
             return self.spark.createDataFrame([], schema)
@@ -46,13 +51,12 @@ class DedupStore:
 
     def _encode(self, batches: DataFrame, run: int, before: list[int]) -> DataFrame:
         """batches with the code of their consumer and namespace; new pairs get codes that no earlier run used."""
-        old = self._read("dictionary", DICTIONARY, before[-1:])
+        old = self._read("dictionary", DICTIONARY, before)
         pairs = batches.select("consumer_id", "ns_name").distinct()
         o = old.select(F.col("consumer_id").alias("o_c"), F.col("ns_name").alias("o_n"))
         new = pairs.join(o, F.col("consumer_id").eqNullSafe(F.col("o_c")) & F.col("ns_name").eqNullSafe(F.col("o_n")), "left_anti")
-        coded = new.withColumn("code", F.lit(run << 46) + F.monotonically_increasing_id())
-        self._write(old.unionByName(coded), "dictionary", run)
-        words = self._read("dictionary", DICTIONARY, [run]).select(F.col("consumer_id").alias("d_c"), F.col("ns_name").alias("d_n"), "code")
+        self._write(new.withColumn("code", F.lit(run << 46) + F.monotonically_increasing_id()), "dictionary", run)
+        words = self._read("dictionary", DICTIONARY, [*before, run]).select(F.col("consumer_id").alias("d_c"), F.col("ns_name").alias("d_n"), "code")
         size = words.agg(F.sum(F.coalesce(F.octet_length("d_c"), F.lit(0)) + F.coalesce(F.octet_length("d_n"), F.lit(0)) + 64)).first()[0] or 0
         if size <= self.broadcast_bytes:
             words = F.broadcast(words)
@@ -61,22 +65,22 @@ class DedupStore:
 
     def ingest(self, batches: DataFrame) -> int:
         """Take batches (batch_id, consumer_id, ns_name, records); returns the run's number. Null and empty lists hold nothing."""
-        before = self.runs()
-        run = (before[-1] if before else 0) + 1
-        coded = self._encode(batches.select("batch_id", "consumer_id", "ns_name", "records"), run, before)
+        before = self.manifest()
+        run = before["run"] + 1
+        coded = self._encode(batches.select("batch_id", "consumer_id", "ns_name", "records"), run, before["dictionary"])
         copies = (
             coded.select("code", "batch_id", F.posexplode("records").alias("rec_pos", "r"))
             .where(F.col("r.lsn").isNotNull())
             .select("code", F.col("r.lsn").alias("lsn"), damaged(F.col("r.record"), F.col("r.crc32_checksum")).alias("bad"), "batch_id", F.col("rec_pos").cast("bigint").alias("rec_pos"))
         )
         best = F.min(F.struct("bad", "batch_id", "rec_pos")).alias("b")
-        picks = copies.groupBy("code", "lsn").agg(best)
-        if before:
-            seen = self._read("seen", SEEN, before[-1:]).select(F.col("code").alias("s_code"), F.col("shard").alias("s_shard"), "bits")
-            shard = (F.col("code") == F.col("s_code")) & (bitmaps.bucket(F.col("lsn")) == F.col("s_shard"))
+        picks = copies.groupBy("code", "lsn").agg(best).withColumn("shard", bitmaps.bucket(F.col("lsn")))
+        if before["seen"]:
+            seen = self._read("seen", SEEN, before["seen"]).join(picks.select("code", "shard").distinct(), ["code", "shard"], "left_semi")
+            seen = seen.groupBy("code", "shard").agg(F.bitmap_or_agg("bits").alias("bits"))
             known = F.coalesce(bitmaps.is_set(F.col("bits"), bitmaps.bit(F.col("lsn"))), F.lit(False))
-            unseen = picks.join(seen, shard, "left").where(~known).select("code", "lsn", "b.*")
-            doubtful = self._read("doubtful", PICK, before[-1:]).select("code", "lsn", F.lit(True).alias("bad"), "batch_id", "rec_pos")
+            unseen = picks.join(seen, ["code", "shard"], "left").where(~known).select("code", "lsn", "b.*")
+            doubtful = self._read("doubtful", PICK, before["doubtful"]).select("code", "lsn", F.lit(True).alias("bad"), "batch_id", "rec_pos")
             picks = unseen.unionByName(doubtful).groupBy("code", "lsn").agg(best)
         picks = picks.select("code", "lsn", "b.*")
         picks.write.mode("overwrite").parquet(self.folder / f"picks/run={run}")
@@ -85,16 +89,25 @@ class DedupStore:
         self._write(settled, "kept", run)
         self._write(picks.where("bad").drop("bad"), "doubtful", run)
         bits = settled.groupBy("code", bitmaps.bucket(F.col("lsn")).alias("shard")).agg(F.bitmap_construct_agg(bitmaps.bit(F.col("lsn"))).alias("bits"))
-        union = self._read("seen", SEEN, before[-1:]).unionByName(bits).groupBy("code", "shard").agg(F.bitmap_or_agg("bits").alias("bits"))
-        self._write(union, "seen", run)
+        self._write(bits, "seen", run)
         self.folder.delete(f"picks/run={run}")
-        self.folder.commit_json(f"commits/{run}.json", {"run": run})
+        added = {p: [*before[p], run] for p in ("dictionary", "seen", "kept")} | {"doubtful": [run]}
+        self.folder.commit_json(f"commits/{run}.json", {"run": run} | added)
+        return run
+
+    def compact(self) -> int:
+        """Unite the bitmaps and the dictionary in one run's folders; returns that run's number."""
+        before = self.manifest()
+        run = before["run"] + 1
+        self._write(self._read("seen", SEEN, before["seen"]).groupBy("code", "shard").agg(F.bitmap_or_agg("bits").alias("bits")), "seen", run)
+        self._write(self._read("dictionary", DICTIONARY, before["dictionary"]), "dictionary", run)
+        self.folder.commit_json(f"commits/{run}.json", before | {"run": run, "seen": [run], "dictionary": [run]})
         return run
 
     def kept(self) -> DataFrame:
         """(code, lsn, batch_id, rec_pos): the one copy that stays of each message so far."""
-        done = self.runs()
-        return self._read("kept", PICK, done).unionByName(self._read("doubtful", PICK, done[-1:]))
+        now = self.manifest()
+        return self._read("kept", PICK, now["kept"]).unionByName(self._read("doubtful", PICK, now["doubtful"]))
 
     def dropped(self, batches: DataFrame) -> DataFrame:
         """(batch_id, rec_pos) of the copies in batches that don't stay; batches must have been ingested.

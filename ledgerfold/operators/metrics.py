@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from . import skew
+
 
 def op_counts(rows: DataFrame, by: list[str], failed: Column | None = None) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n_ops"), F.count_if(F.lit(False) if failed is None else failed).alias("n_errors"))
@@ -57,8 +59,7 @@ def sessions(rows: DataFrame, by: list[str], ts: str, gap: str) -> DataFrame:
     return found.agg(F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count("*").alias("n")).drop("w")
 
 
-def batches(records: DataFrame, stream: str, seq: str, size: Column, limit: int) -> DataFrame:
-    """records with batch_no: greedy in the order of seq by running size, a new batch beginning where limit bytes were filled."""
-    w = W.partitionBy(stream).orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0))
-    return records.withColumn("batch_no", F.floor(before / limit))
+def batches(records: DataFrame, stream: str, block: Column, order: list[str], size: Column, limit: int) -> DataFrame:
+    """records with batch_no: in order by running size, a new batch beginning where limit bytes were filled. block grows
+    with order and cuts long streams, as skew.running() needs it."""
+    return skew.running(records, [stream], block, order, size, "_before").withColumn("batch_no", F.floor(F.col("_before") / limit)).drop("_before")

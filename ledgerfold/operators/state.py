@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import txn
+from . import skew, txn
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str], carry: list[str], deleted: Column | None = None) -> DataFrame:
@@ -72,13 +72,11 @@ def rows(values: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def chunks(values: DataFrame) -> DataFrame:
-    """The chunks of live large objects, (ns_name, entry_key, chunk_no, value), numbered from 0. Objects stay in pieces,
-    so the size of one is no limit."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("ns_name", "entry_key").orderBy(*txn.ORDER)
-    found = values.where(F.col("entry_type") == txn.CHUNKED)
-    return found.select("ns_name", "entry_key", (F.row_number().over(w) - 1).alias("chunk_no"), "value")
+    """The chunks of live large objects, (ns_name, entry_key, chunk_no, value), numbered from 0. Objects stay in pieces
+    and are numbered in stretches of the log, so the size of one is no limit."""
+    found = values.where(F.col("entry_type") == txn.CHUNKED).select("ns_name", "entry_key", "value", "lsn", "entry_no")
+    numbered = skew.running(found, ["ns_name", "entry_key"], F.floor(F.col("lsn") / 4096), ["lsn", "entry_no"], F.lit(1), "chunk_no")
+    return numbered.select("ns_name", "entry_key", "chunk_no", "value")
 
 
 def objects(values: DataFrame) -> DataFrame:

@@ -62,9 +62,10 @@ def log_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_object_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large objects in pieces, each chunk with its number and label."""
     found = state.chunks(state.state(table(spark, sf_dir, "log_records")))
-    n = F.count("*").over(W.partitionBy("ns_name", "entry_key"))
-    out = found.withColumn("n", n).withColumn("label", text.chunk_label(F.col("chunk_no"), F.col("n")))
-    return out.select("ns_name", F.hex("entry_key").alias("entry_key"), F.col("chunk_no").cast("bigint").alias("chunk_no"), F.octet_length("value").cast("bigint").alias("n_bytes"), "label")
+    sizes = found.select("ns_name", "entry_key", "chunk_no", F.octet_length("value").cast("bigint").alias("n_bytes"))
+    counts = sizes.groupBy("ns_name", "entry_key").agg(F.count("*").alias("n"))
+    out = sizes.join(counts, ["ns_name", "entry_key"])
+    return out.select("ns_name", F.hex("entry_key").alias("entry_key"), "chunk_no", "n_bytes", text.chunk_label(F.col("chunk_no"), F.col("n")).alias("label"))
 
 
 @query
@@ -378,8 +379,8 @@ def stream_batches_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of at least 1,024 bytes that a sender makes of each consumer's records, in the order of arrival."""
     r = table(spark, sf_dir, "stream_batches").select("consumer_id", "batch_id", F.posexplode("records").alias("pos", "r"))
-    flat = r.select(F.col("consumer_id"), F.struct("batch_id", "pos").alias("at"), F.octet_length("r.record").cast("bigint").alias("n_bytes"))
-    out = metrics.batches(flat, "consumer_id", "at", F.col("n_bytes"), 1024)
+    flat = r.select("consumer_id", "batch_id", "pos", F.octet_length("r.record").cast("bigint").alias("n_bytes"))
+    out = metrics.batches(flat, "consumer_id", F.floor(F.col("batch_id") / 4096), ["batch_id", "pos"], F.col("n_bytes"), 1024)
     return out.groupBy("consumer_id", "batch_no").agg(F.count("*").alias("n_records"), F.sum("n_bytes").alias("n_bytes"))
 
 

@@ -66,3 +66,16 @@ def test_groups_stay_small(spark, tmp_path):
     out = skew.numbered(skew.positioned(df, "ns", "key", "value", block_rows=20), ["ns", "key"], chunk_rows=10)
     assert out.groupBy("ns", "key", skew.FILE, skew.BLOCK).count().agg(F.max("count")).first()[0] <= 20
     assert out.groupBy("ns", "key", skew.CHUNK).count().agg(F.max("count")).first()[0] <= 10
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_running_sums(spark, width):
+    r = random.Random(width)
+    rows = [(r.choice(["a", "a", "a", None]), i, r.randint(0, 9)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, seq int, v bigint")
+    found = {x.seq: x.before for x in skew.running(df, ["k"], F.floor(F.col("seq") / width), ["seq"], F.col("v"), "before").collect()}
+    sums, wanted = {}, {}
+    for k, i, v in rows:
+        wanted[i] = sums.get(k, 0)
+        sums[k] = wanted[i] + v
+    assert found == wanted

@@ -30,6 +30,7 @@ ID = ["ns_name", "entry_type", "entry_key", "part"]
 KEY = ID[:3]
 PLACE = ["file_no", "row_pos"]
 #: What makes an index entry the newest of its key and part: the order of the change, then the epoch that recorded it.
+#: An index folder also has the place that the entry's value had before, which only its own epoch reads.
 NEWEST_COLUMNS = [*txn.ORDER, "epoch", "live", *PLACE]
 
 IMAGE = "ns_name string, entry_type string, entry_key binary, part string, value binary, kind string, commit_lsn bigint, lsn bigint, entry_no bigint"
@@ -107,25 +108,29 @@ class FeedTable:
 
         # Find what they supersede: the old entries of the keys they touch.
         placed = self._images([epoch]).drop("value")
-        bars, old = txn.barriers(placed), None
+        bars = txn.barriers(placed)
+        number = F.lit(epoch).cast("bigint").alias("epoch")
+        entries = placed.where("kind <> 'bar'").select(*ID, *txn.ORDER, number, (F.col("kind") == "put").alias("live"), *PLACE)
         if before["index"]:
             keys = placed.select(*KEY).distinct()
-            old = touched(self._read("index", before["index"]), keys).groupBy(*ID).agg(F.max(F.struct(*NEWEST_COLUMNS)).alias("n")).select(*ID, "n.*")
+            entries = entries.unionByName(touched(self._read("index", before["index"]), keys))
             bars = bars.unionByName(touched(self._read("barriers", before["barriers"]), keys))
         bars = self._write(bars.groupBy(*KEY).agg(F.max("bar").alias("bar")), "barriers", epoch)
-        changed = placed.where("kind <> 'bar'").select(*ID, *txn.ORDER, F.lit(epoch).cast("bigint").alias("epoch"), (F.col("kind") == "put").alias("live"), *PLACE)
-        newest = (old.unionByName(changed) if old is not None else changed).groupBy(*ID).agg(F.max(F.struct(*NEWEST_COLUMNS)).alias("n")).select(*ID, "n.*")
+        best = F.struct(*NEWEST_COLUMNS)
+        newest = entries.groupBy(*ID).agg(F.max(best).alias("n"), F.max(F.when(F.col("epoch") < epoch, best)).alias("p")).select(*ID, "n.*", "p")
         b = bars.select(*[F.col(c).alias(f"b_{c}") for c in KEY], "bar")
         stays = F.col("live") & (F.col("bar").isNull() | (txn.order_key() > F.col("bar")))
-        index = newest.join(b, same_key("b_"), "left").select(*ID, *txn.ORDER, F.lit(epoch).cast("bigint").alias("epoch"), stays.alias("live"), *PLACE)
-        index = self._write(index, "index", epoch)
+        before_place = [F.when(F.col("p.live"), F.col(f"p.{c}")).alias(f"prev_{c}") for c in PLACE]
+        index = newest.join(b, same_key("b_"), "left").select(*ID, *txn.ORDER, number, stays.alias("live"), *PLACE, *before_place)
+        self._write(index, "index", epoch)
+        index = self.spark.read.schema(index.schema).parquet(self.folder / f"index/epoch={epoch}")
 
-        # Set their bits: places that were live, or are new, and aren't live now.
-        at_risk = placed.select(*PLACE, F.lit(0).alias("stays"))
-        if old is not None:
-            at_risk = at_risk.unionByName(old.where("live").select(*PLACE, F.lit(0).alias("stays")))
+        # Set their bits: new places that aren't live, and old ones that were and aren't now.
         live = index.where("live").select(*PLACE, F.lit(1).alias("stays"))
-        gone = at_risk.unionByName(live).groupBy(*PLACE).agg(F.max("stays").alias("stays")).where("stays = 0")
+        new = placed.select(*PLACE, F.lit(0).alias("stays")).unionByName(live).groupBy(*PLACE).agg(F.max("stays").alias("stays")).where("stays = 0")
+        moved = ~F.col("live") | (F.col("file_no") != F.col("prev_file_no")) | (F.col("row_pos") != F.col("prev_row_pos"))
+        old = index.where(F.col("prev_file_no").isNotNull() & moved).select(*[F.col(f"prev_{c}").alias(c) for c in PLACE])
+        gone = new.select(*PLACE).unionByName(old)
         vectors = gone.groupBy("file_no", bitmaps.bucket(F.col("row_pos")).alias("bucket")).agg(F.bitmap_construct_agg(bitmaps.bit(F.col("row_pos"))).alias("bits"))
         counted = Observation()
         self._write(vectors.observe(counted, F.count(F.lit(1)).alias("n")), "vectors", epoch)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Factors of size suffixes, fixed values.
-SIZES = {"B": 1, "KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30, "TB": 1 << 40}
+SIZES = {"KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30}
 
 #: What operations and entry types are called in change notifications, fixed values.
 OPERATIONS = {"Insert": "put", "Delete": "delete", "DeleteRowByKey": "delete_row"}
@@ -20,13 +20,14 @@ def lookup(value: Column, names: dict[str, str], default: Column | None = None)
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of a size such as 16MB; what isn't one gives 0."""
-    number = F.regexp_extract(text, r"(?i)^\s*(\d{1,12})\s*(B|KB|MB|GB|TB)?\s*$", 1)
-    unit = F.upper(F.regexp_extract(text, r"(?i)^\s*(\d{1,12})\s*(B|KB|MB|GB|TB)?\s*$", 2))
+    """Bytes of a size such as 16MB, in any case; what isn't one, or has a space before its unit, gives 0."""
+    pattern = rf"(?i)^\s*([+-]?\d{{1,9}})({'|'.join(SIZES)})\s*$|^\s*([+-]?\d{{1,18}})\s*$"
+    with_unit, unit, plain = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
     factor = F.lit(1).cast("bigint")
     for name, size in SIZES.items():
-        factor = F.when(unit == name, F.lit(size).cast("bigint")).otherwise(factor)
-    return F.coalesce(F.when(number != "", number.cast("bigint") * factor), F.lit(0).cast("bigint"))
+        factor = F.when(F.upper(unit) == name, F.lit(size).cast("bigint")).otherwise(factor)
+    number = F.when(with_unit != "", with_unit).when(plain != "", plain)
+    return F.coalesce(number.cast("bigint") * factor, F.lit(0).cast("bigint"))
 
 
 def split_list(text: Column, separator: str = ",") -> Column:
@@ -91,3 +92,38 @@ def chunk_spans(size: Column, chunk: int) -> Column:
         lambda i: F.struct(i.alias("chunk_no"), (i * chunk).cast("bigint").alias("at"), F.least(F.lit(chunk).cast("bigint"), size - i * chunk).alias("length")),
     )
     return F.when(size > 0, spans).otherwise(F.array().cast("array<struct<chunk_no:int,at:bigint,length:bigint>>"))
+
+
+#: Status codes after which a stream is tried again; after all others it ends. Words of plain messages that end it. Fixed values.
+TRANSIENT = ["Unavailable", "ResourceExhausted", "DeadlineExceeded"]
+PERMANENT_WORDS = ["invalid", "denied", "truncated"]
+
+
+def error_kind(code: Column, message: Column) -> Column:
+    """transient or permanent, by the status code, or without one by the message; no error is transient."""
+    by_word = message.contains(PERMANENT_WORDS[0])
+    for word in PERMANENT_WORDS[1:]:
+        by_word = by_word | message.contains(word)
+    by_message = F.when(F.coalesce(by_word, F.lit(False)), "permanent").otherwise("transient")
+    return F.when(code.isin(*TRANSIENT), "transient").when(code.isNotNull(), "permanent").otherwise(by_message)
+
+
+def metric_name(name: Column, labels: Column) -> Column:
+    """A name with its labels' values behind it, spaces and colons in these replaced."""
+    return F.concat_ws(".", name, F.transform(labels, lambda x: F.translate(x, " :", "__")))
+
+
+def config_hash(*parts: Column) -> Column:
+    """SHA-256 of a configuration's parts; null parts count as empty."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def backoff_ms(attempt: Column, first: int, most: int) -> Column:
+    """Milliseconds to wait before an attempt, from 0: doubled each time up to most, then spread by 0.8 to 1.2."""
+    return F.least(F.pow(F.lit(2), F.least(attempt, F.lit(40))) * first, F.lit(most)) * (F.lit(0.8) + F.rand() * 0.4)
+
+
+def joined_path(*parts: Column) -> Column:
+    """Parts joined by single slashes; empty parts are left out."""
+    kept = F.filter(F.array(*[F.regexp_replace(p, "(?<=.)/+$", "") for p in parts]), lambda x: x != "")
+    return F.regexp_replace(F.concat_ws("/", kept), "//+", "/")

@@ -32,12 +32,12 @@ def lag(heads: DataFrame, followers: DataFrame, on: list[str], head: str, at: st
     return followers.join(heads, on).withColumn("lag", behind).withColumn("is_behind", F.col("lag") > threshold)
 
 
-#: Age buckets and their upper ends in seconds, fixed values; the label 10m_30m holds what is past 15 minutes.
+#: Age buckets and their upper ends in seconds, fixed values; 10m_30m holds what is past 15 minutes.
 AGE_BUCKETS = [
-    ("0_1m", 60), ("1m_2m", 120), ("2m_5m", 300), ("5m_10m", 600), ("10m_15m", 900), ("10m_30m", 1800),
-    ("30m_1h", 3600), ("1h_2h", 7200), ("2h_6h", 21600), ("6h_12h", 43200), ("12h_24h", 86400),
+    ("0s_1s", 1), ("1s_10s", 10), ("10s_30s", 30), ("30s_1m", 60), ("1m_10m", 600), ("10m_15m", 900), ("10m_30m", 1800),
+    ("30m_1h", 3600), ("1h_6h", 21600), ("6h_12h", 43200), ("12h_24h", 86400),
 ]
-OLDEST = "24h_plus"
+OLDEST = "24h_over"
 
 
 def age_bucket(seconds: Column) -> Column:
@@ -63,3 +63,23 @@ def batches(records: DataFrame, stream: str, block: Column, order: list[str], si
     """records with batch_no: in order by running size, a new batch beginning where limit bytes were filled. block grows
     with order and cuts long streams, as skew.running() needs it."""
     return skew.running(records, [stream], block, order, size, "_before").withColumn("batch_no", F.floor(F.col("_before") / limit)).drop("_before")
+
+
+#: Percent of log lines kept by level unless others are given, fixed values.
+LEVEL_PERCENT = {"debug": 100.0, "info": 25.0, "warn": 100.0, "error": 100.0}
+
+
+def sampled_levels(rows: DataFrame, level: str, percents: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
+    """A random share of rows by level; unknown levels in percents are an error, rows of unknown levels are left out."""
+    given = {k.lower(): v for k, v in (percents or {}).items()}
+    if unknown := given.keys() - LEVEL_PERCENT.keys():
+        raise ValueError(f"unknown levels: {', '.join(sorted(unknown))}")
+    keep = None
+    for name, percent in (LEVEL_PERCENT | given).items():
+        test = F.lower(level) == name
+        keep = F.when(test, percent) if keep is None else keep.when(test, percent)
+    return rows.where(F.rand(seed) * 100 < keep)
+
+
+def slower_than(rows: DataFrame, duration: str, limit: float) -> DataFrame:
+    return rows.where(F.col(duration) > limit)

@@ -69,3 +69,24 @@ def stale(txns: DataFrame, now_ms: Column, idle_ms: int = 120_000, age_ms: int =
     """Open transactions without a record for idle_ms, or begun age_ms ago."""
     idle = (now_ms - F.col("last_ms") >= idle_ms) | (now_ms - F.col("first_ms") >= age_ms)
     return txns.where((F.col("status") == "open") & idle)
+
+
+def namespace_settings(relays: DataFrame, namespaces: str, setting: str, default) -> tuple[DataFrame, DataFrame]:
+    """relays with lists of namespaces as (ns_name, setting), and the namespaces named more than once, which is an error.
+    A null setting takes the default."""
+    flat = relays.select(F.explode(namespaces).alias("ns_name"), F.coalesce(F.col(setting), F.lit(default)).alias(setting))
+    twice = flat.groupBy("ns_name").agg(F.count("*").alias("n")).where("n > 1").select("ns_name")
+    return flat, twice
+
+
+def members(rows: DataFrame, key: str, tags: str, namespace: str) -> DataFrame:
+    """Members of a namespace, each once: those whose tags, a list of names, have it."""
+    return rows.where(F.array_contains(tags, namespace)).dropDuplicates([key])
+
+
+def relayed(batches: DataFrame) -> DataFrame:
+    """Per (consumer_id, ns_name, batch_id): records, first and last lsn, and whether they follow each other
+    without a gap, whatever their order in the batch."""
+    flat = batches.select("consumer_id", "ns_name", "batch_id", F.explode("records.lsn").alias("lsn")).distinct()
+    out = flat.groupBy("consumer_id", "ns_name", "batch_id").agg(F.count("*").alias("n"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"))
+    return out.withColumn("is_contiguous", F.col("last_lsn") - F.col("first_lsn") + 1 == F.col("n"))

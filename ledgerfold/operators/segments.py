@@ -118,3 +118,29 @@ def committed(log: DataFrame, segment: int, offset: int) -> DataFrame:
     """Only records up to the commit boundary, a position."""
     seg, off = F.col("segment_id"), F.col("seg_offset")
     return log.where((seg < segment) | ((seg == segment) & (off <= offset)))
+
+
+def at_position(log: DataFrame, segment: int, offset: int) -> DataFrame:
+    """The records at one position."""
+    return log.where((F.col("segment_id") == segment) & (F.col("seg_offset") == offset))
+
+
+def availability(wanted: DataFrame, log: DataFrame) -> DataFrame:
+    """wanted (ns_name, lsn) with status: ok, truncated for what is before the log's first record, or not_yet for what is
+    after its last or in a log without records."""
+    held = bounds(log).select(F.col("ns_name").alias("_ns"), "first_lsn", "last_lsn")
+    status = F.when(F.col("first_lsn").isNull() | (F.col("lsn") > F.col("last_lsn")), "not_yet").when(F.col("lsn") < F.col("first_lsn"), "truncated").otherwise("ok")
+    return wanted.join(held, F.col("ns_name").eqNullSafe(F.col("_ns")), "left").select(*wanted.columns, status.alias("status"))
+
+
+def stored(log: DataFrame, batch: DataFrame) -> DataFrame:
+    """The log after a batch from a new leader: of each namespace the suffix from the batch's first lsn on is replaced."""
+    first = batch.groupBy("ns_name").agg(F.min("lsn").alias("_first")).withColumnRenamed("ns_name", "_ns")
+    kept = log.join(first, F.col("ns_name").eqNullSafe(F.col("_ns")), "left").where(F.col("_first").isNull() | (F.col("lsn") < F.col("_first")))
+    return kept.select(*log.columns).unionByName(batch.select(*log.columns))
+
+
+def without_range(log: DataFrame, first: int, last: int, safe: int | None = None) -> DataFrame:
+    """The log without first to last, both inclusive; safe is an lsn after which nothing may be deleted."""
+    end = last if safe is None else min(last, safe)
+    return log.where(~F.col("lsn").between(first, end))

@@ -337,6 +337,29 @@ def log_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "ns_name", "full_outer")
 
 
+@query
+def log_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records at one position of their logs."""
+    return segments.at_position(table(spark, sf_dir, "log_records"), 40, 64).select("ns_name", "lsn").distinct()
+
+
+@query
+def log_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the log still, or already, holds what followers ask for."""
+    wanted = table(spark, sf_dir, "stream_requests").where("start_lsn IS NOT NULL").select("consumer_id", "ns_name", F.col("start_lsn").alias("lsn")).distinct()
+    return segments.availability(wanted, table(spark, sf_dir, "log_records"))
+
+
+@query
+def log_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after a new leader's ten records from the middle of each namespace on."""
+    log = segments.distinct_records(table(spark, sf_dir, "log_records"), "operation_type").withColumn("is_new", F.lit(False))
+    middle = log.groupBy("ns_name").agg(F.floor((F.min("lsn") + F.max("lsn")) / 2).alias("mid"))
+    batch = log.join(middle, "ns_name").where(F.col("lsn").between(F.col("mid"), F.col("mid") + 9))
+    batch = batch.select("ns_name", "lsn", F.lit("NoOperation").alias("operation_type"), F.lit(True).alias("is_new"))
+    return segments.stored(log, batch).groupBy("ns_name").agg(F.count("*").alias("n"), F.count_if("is_new").alias("n_new"), F.max("lsn").alias("last_lsn"))
+
+
 # ---- replication --------------------------------------------------------------------------------------------------
 
 
@@ -384,6 +407,20 @@ def stream_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("consumer_id", "batch_no").agg(F.count("*").alias("n_records"), F.sum("n_bytes").alias("n_bytes"))
 
 
+@query
+def relay_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each batch's records and whether they follow each other."""
+    return replication.relayed(table(spark, sf_dir, "stream_batches"))
+
+
+@query
+def namespace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Namespaces that more than one consumer follows."""
+    lists = table(spark, sf_dir, "stream_requests").groupBy("consumer_id").agg(F.collect_set("ns_name").alias("names"), F.lit(None).cast("int").alias("threshold"))
+    flat, twice = replication.namespace_settings(lists, "names", "threshold", 100)
+    return flat.join(twice, "ns_name", "left_semi").groupBy("ns_name").agg(F.count("*").alias("n"))
+
+
 @query
 def namespace_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without a committed order."""

@@ -72,9 +72,9 @@ best AS (SELECT user_id, cell_name, max(event_id) AS event_id, arg_max(value, ev
 live AS (SELECT user_id, cell_name, event_id, value FROM best LEFT JOIN b USING (user_id) WHERE NOT removed AND (bar IS NULL OR event_id > bar))
 """
 
-AGES = """CASE WHEN s < 60 THEN '0_1m' WHEN s < 120 THEN '1m_2m' WHEN s < 300 THEN '2m_5m' WHEN s < 600 THEN '5m_10m' WHEN s < 900 THEN '10m_15m'
-  WHEN s < 1800 THEN '10m_30m' WHEN s < 3600 THEN '30m_1h' WHEN s < 7200 THEN '1h_2h' WHEN s < 21600 THEN '2h_6h' WHEN s < 43200 THEN '6h_12h'
-  WHEN s < 86400 THEN '12h_24h' ELSE '24h_plus' END"""
+AGES = """CASE WHEN s < 1 THEN '0s_1s' WHEN s < 10 THEN '1s_10s' WHEN s < 30 THEN '10s_30s' WHEN s < 60 THEN '30s_1m' WHEN s < 600 THEN '1m_10m'
+  WHEN s < 900 THEN '10m_15m' WHEN s < 1800 THEN '10m_30m' WHEN s < 3600 THEN '30m_1h' WHEN s < 21600 THEN '1h_6h' WHEN s < 43200 THEN '6h_12h'
+  WHEN s < 86400 THEN '12h_24h' ELSE '24h_over' END"""
 
 
 def be(number: str, digits: int) -> str:
@@ -109,6 +109,19 @@ SQL = {
     "put_checksums": crc(3988292384, "SELECT DISTINCT ON (put_id) ns_name, crc32_checksum, coalesce(put_value, ''::BLOB) AS v FROM put_requests")
     + """ SELECT ns_name, CASE WHEN crc32_checksum IS NULL THEN 'absent' WHEN crc = crc32_checksum THEN 'right' ELSE 'wrong' END AS checksum, count(*) AS n FROM c GROUP BY ALL""",
     "put_checksums_c": crc(2197175160, "SELECT DISTINCT ON (put_id) put_id, put_value AS v FROM put_requests WHERE put_value IS NOT NULL") + " SELECT put_id, crc AS crc32c FROM c",
+    "log_point": "SELECT DISTINCT ns_name, lsn FROM log_records WHERE segment_id = 40 AND seg_offset = 64",
+    "log_availability": """WITH h AS (SELECT ns_name, min(lsn) AS lo, max(lsn) AS hi FROM log_records GROUP BY ALL),
+w AS (SELECT DISTINCT consumer_id, ns_name, start_lsn AS lsn FROM stream_requests WHERE start_lsn IS NOT NULL)
+SELECT consumer_id, ns_name, lsn, CASE WHEN lo IS NULL OR lsn > hi THEN 'not_yet' WHEN lsn < lo THEN 'truncated' ELSE 'ok' END AS status FROM w LEFT JOIN h USING (ns_name)""",
+    "log_replaced": LOG
+    + """, b AS (SELECT ns_name, (min(lsn) + max(lsn)) // 2 AS mid FROM log GROUP BY ALL),
+s AS (SELECT l.ns_name, l.lsn, l.operation_type, false AS is_new FROM log l JOIN b USING (ns_name) WHERE lsn < mid
+  UNION ALL SELECT l.ns_name, l.lsn, 'NoOperation', true FROM log l JOIN b USING (ns_name) WHERE lsn BETWEEN mid AND mid + 9)
+SELECT ns_name, count(*) AS n, count(*) FILTER (is_new) AS n_new, max(lsn) AS last_lsn FROM s GROUP BY ALL""",
+    "relay_batches": """WITH f AS (SELECT DISTINCT consumer_id, ns_name, batch_id, unnest(records).lsn AS lsn FROM stream_batches)
+SELECT consumer_id, ns_name, batch_id, count(*) AS n, min(lsn) AS first_lsn, max(lsn) AS last_lsn, max(lsn) - min(lsn) + 1 = count(*) AS is_contiguous FROM f GROUP BY ALL""",
+    "namespace_counts": """WITH c AS (SELECT consumer_id, list(DISTINCT ns_name) AS ns FROM stream_requests GROUP BY ALL), f AS (SELECT unnest(ns) AS ns_name FROM c)
+SELECT ns_name, count(*) AS n FROM f GROUP BY ALL HAVING count(*) > 1""",
     "log_kv": STATE + " SELECT ns_name, hex(k) AS entry_key, hex(b.v) AS value, o[1] AS commit_lsn, o[2] AS lsn, o[3] AS entry_no FROM kv",
     "log_row_cells": STATE + " SELECT ns_name, hex(k) AS entry_key, cell_name, hex(b.v) AS value, o[1] AS commit_lsn, o[2] AS lsn, o[3] AS entry_no FROM cells",
     "log_rows": STATE + " SELECT ns_name, hex(k) AS entry_key, count(*) AS n_cells, string_agg(cell_name, ',' ORDER BY cell_name) AS cell_names FROM cells GROUP BY ns_name, k",

@@ -34,7 +34,7 @@ def test_text(spark):
     v = F.col("v")
     s = lambda c, *x: one(spark, c, *x, schema="v string")
     n = lambda c, *x: one(spark, c, *x, schema="v bigint")
-    assert s(text.parse_size(v), "16MB", " 1 kb", "7", "x", "", None, "1.5MB", "2GB") == [16 << 20, 1024, 7, 0, 0, 0, 0, 2 << 30]
+    assert s(text.parse_size(v), "16MB", " 1kb ", "7", "x", "", None, "1.5MB", "2GB", "1 KB", "5TB", "-3") == [16 << 20, 1024, 7, 0, 0, 0, 0, 2 << 30, 0, 0, -3]
     assert s(text.split_list(v), "a, b,,c ", "", None) == [["a", "b", "c"], [], None]
     assert n(text.align8(v), 0, 1, 8, 9) == [0, 8, 8, 16]
     assert n(text.record_size(v), 0, 1, 8) == [16, 24, 24]
@@ -67,7 +67,7 @@ def test_metrics(spark):
     counts = metrics.op_counts(df, ["k"], F.col("v") > 2)
     assert {tuple(r) for r in counts.collect()} == {("a", 2, 1), ("b", 1, 0), (None, 1, 0)}
     ages = spark.createDataFrame([(x,) for x in (0, 59, 60, 899, 900, 1799, 86399, 86400)], "v int")
-    assert [r[0] for r in ages.select(metrics.age_bucket(F.col("v"))).collect()] == ["0_1m", "0_1m", "1m_2m", "10m_15m", "10m_30m", "10m_30m", "12h_24h", "24h_plus"]
+    assert [r[0] for r in ages.select(metrics.age_bucket(F.col("v"))).collect()] == ["0s_1s", "30s_1m", "1m_10m", "10m_15m", "10m_30m", "10m_30m", "12h_24h", "24h_over"]
     at = lambda h: datetime.datetime(2025, 1, 1, h)
     t = spark.createDataFrame([("a", at(0)), ("a", at(0)), ("a", at(5)), ("b", at(1))], "k string, t timestamp_ntz")
     assert {(r.k, r.n, r.delta) for r in metrics.rates(t, "t", "hour", ["k"]).collect()} == {("a", 2, None), ("a", 1, -1), ("b", 1, None)}
@@ -100,3 +100,31 @@ def test_updates_in_json(spark):
     rows = crdt.parsed(spark.createDataFrame([(v,) for v in values], "v binary"), "v").collect()
     assert [r.reg is not None for r in rows] == [True] + [False] * 7
     assert [r.ctr is not None for r in rows] == [False, True] + [False] * 6
+
+
+def test_names_and_errors(spark):
+    df = spark.createDataFrame([("Unavailable", "x"), ("OutOfRange", None), (None, "log truncated"), (None, "lost"), (None, None)], "code string, message string")
+    assert [r[0] for r in df.select(text.error_kind(F.col("code"), F.col("message"))).collect()] == ["transient", "permanent", "permanent", "transient", "transient"]
+    one_row = spark.range(1)
+    value = lambda c: one_row.select(c).first()[0]
+    assert value(text.metric_name(F.lit("m"), F.array(F.lit("a b"), F.lit("c:d")))) == "m.a_b.c_d"
+    assert value(text.config_hash(F.lit("a"), F.lit(None), F.lit(3))) == __import__("hashlib").sha256(b"a||3").hexdigest()
+    assert value(text.joined_path(F.lit("a/"), F.lit(""), F.lit("b"))) == "a/b"
+    assert 80 <= value(text.backoff_ms(F.lit(0), 100, 250)) <= 120 and 200 <= value(text.backoff_ms(F.lit(99), 100, 250)) <= 300
+
+
+def test_samples_and_synthetic_rows(spark):
+    from ledgerfold.sources import synthetic
+
+    rows = spark.createDataFrame([("debug",)] * 5 + [("INFO",)] * 400 + [("other",), (None,)], "level string")
+    kept = {r.level: r["count"] for r in metrics.sampled_levels(rows, "level").groupBy("level").count().collect()}
+    assert kept["debug"] == 5 and 50 < kept["INFO"] < 150 and "other" not in kept
+    assert metrics.sampled_levels(rows, "level", {"Info": 0}).where("level = 'INFO'").count() == 0
+    with pytest.raises(ValueError):
+        metrics.sampled_levels(rows, "level", {"loud": 1})
+    keys_made = [bytes(r.key) for r in synthetic.keys(spark, 50, 3).collect()]
+    assert keys_made == [bytes(r.key) for r in synthetic.keys(spark, 50, 3).repartition(5).orderBy("key_no").collect()]
+    assert len(set(keys_made)) == 50 and all(5 <= len(k) <= 256 for k in keys_made)
+    sizes = [len(r.value) for r in synthetic.values(spark, 200).collect()]
+    assert min(sizes) >= 100 and max(sizes) <= 102_400 and 150 < sum(s <= 2048 for s in sizes) < 199
+    assert {r.key_no for r in synthetic.picks(spark, 500, 10).collect()} == set(range(10))

@@ -90,3 +90,21 @@ def test_messages(spark):
         ("n.kv", '{"key":"aw==","namespace":"n","operation":"put","entry_type":"kv","seq_num":1}'),
         ("n.row", '{"key":"cg==","namespace":"n","operation":"delete_row","entry_type":"row","seq_num":2}'),
     }
+
+
+def test_availability_and_replacement(spark):
+    rows = lambda *r: spark.createDataFrame([(ns, n, "x") for ns, n in r], "ns_name string, lsn bigint, op string")
+    log = rows(("a", 5), ("a", 6), ("a", 7), ("b", 1))
+    wanted = rows(("a", 4), ("a", 5), ("a", 8), ("c", 1))
+    assert [r.status for r in segments.availability(wanted, log).orderBy("ns_name", "lsn").collect()] == ["truncated", "ok", "not_yet", "not_yet"]
+    out = segments.stored(log, rows(("a", 6), ("c", 9)))
+    assert sorted((r.ns_name, r.lsn) for r in out.collect()) == [("a", 5), ("a", 6), ("b", 1), ("c", 9)]
+    assert [r.lsn for r in segments.without_range(log.where("ns_name = 'a'"), 5, 7, safe=6).collect()] == [7]
+
+
+def test_namespaces(spark):
+    relays = spark.createDataFrame([(["a", "b"], 5), (["b"], None), ([], 1)], "names array<string>, threshold int")
+    flat, twice = replication.namespace_settings(relays, "names", "threshold", 9)
+    assert sorted(map(tuple, flat.collect())) == [("a", 5), ("b", 5), ("b", 9)] and [tuple(r) for r in twice.collect()] == [("b",)]
+    members = spark.createDataFrame([("1", ["a"]), ("1", ["a"]), ("2", None)], "id string, tags array<string>")
+    assert [r.id for r in replication.members(members, "id", "tags", "a").collect()] == ["1"]

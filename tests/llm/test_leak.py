@@ -103,3 +103,38 @@ def test_other_parameters(spark):
 def test_kinds_of_slots():
     kind = lambda w: leak.slot_kind(w, frozenset([b"alice"]), frozenset([b"km"]))
     assert [kind(w) for w in (b"12", b"km", b"alice", b"12km", b"12xyz", b"tree", b"x1")] == [1, 3, 4, 2, 0, 0, 0]
+
+
+def brute_changed(docs, items, window=13, literals=7):
+    """(doc, item) to the numbers of distinct stretches with other and with the same slot values."""
+    names, units = frozenset(n.encode() for n in leak.NAMES), frozenset(u.encode() for u in leak.UNITS)
+    kinds = lambda g: tuple(leak.slot_kind(w.encode(), names, units) or w for w in g)
+    grams = lambda t: {tuple(w[i : i + window]) for w in [words(t)] for i in range(len(w) - window + 1)}
+    held = [(i, [(g, kinds(g)) for g in grams(p)]) for i, p in items]
+    out = {}
+    for d, t in docs:
+        for g in grams(t):
+            k = kinds(g)
+            slots = [j for j in range(window) if isinstance(k[j], int)]
+            if not slots or window - len(slots) < literals:
+                continue
+            for i, hs in held:
+                fits = [h for h, hk in hs if hk == k and all((g[a] == g[b]) == (h[a] == h[b]) for a in slots for b in slots)]
+                if fits:
+                    n = out.setdefault((d, i), [0, 0])
+                    n[any(h == g for h in fits)] += 1
+    return {k: tuple(v) for k, v in out.items() if v[0]}
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_other_parameters_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    sentence = "if alice has 12 apples and bob has 7 apples then alice gives 12 km of them to bob each 3 days and 5km more".split(" ")
+    vary = lambda: " ".join(r.choice(["alice", "bob", "eve"]) if w in ("alice", "bob") and r.random() < 0.3 else str(r.randint(1, 9)) if w.isdigit() and r.random() < 0.4 else w for w in sentence)
+    items = [("i%d" % i, vary()) for i in range(4)]
+    docs = [(i, " ".join(["x"] * r.randint(0, 3)) + " " + vary() + r.choice(["", " tail"])) for i in range(40)]
+    d = spark.createDataFrame([(*x, "k", "w") for x in docs], DOCS)
+    i = spark.createDataFrame([(*x, "") for x in items], ITEMS)
+    got = {(x.doc_id, x.item_id): (x.n_changed, x.n_same) for x in leak.same_questions(d, i).collect()}
+    wanted = brute_changed(docs, items)
+    assert wanted and got == wanted

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import tempfile
 import uuid
@@ -55,6 +56,13 @@ class Folder:
         """Have the driver delete this folder when it ends."""
         self._fs.deleteOnExit(self._Path(self.path))
 
+    def write(self, name: str, data: bytes) -> None:
+        stream = self._fs.create(self._Path(self / name), True)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+
     def read_json(self, name: str) -> dict:
         stream = self._fs.open(self._Path(self / name))
         try:
@@ -66,11 +74,7 @@ class Folder:
     def commit_json(self, name: str, value: dict) -> None:
         """Write value under name in one atomic step; FileExistsError if name exists, so of two writers one wins."""
         draft = self._Path(self / f".{uuid.uuid4().hex}.draft")
-        stream = self._fs.create(draft, True)
-        try:
-            stream.write(bytearray(json.dumps(value).encode()))
-        finally:
-            stream.close()
+        self.write(draft.getName(), json.dumps(value).encode())
         target = self._Path(self / name)
         self._fs.mkdirs(target.getParent())
         if self._fs.exists(target) or not self._fs.rename(draft, target):
@@ -109,10 +113,11 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_ledgerfold_shipped", False):
         return
-    root = Path(__file__).parent
-    target = Path(tempfile.mkdtemp(prefix="ledgerfold-"), "ledgerfold.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    root, data = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for file in sorted(root.rglob("*.py")):
             z.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(target))
+    folder = work_folder(spark, "code")
+    folder.write("ledgerfold.zip", data.getvalue())
+    context.addPyFile(folder / "ledgerfold.zip")
     context._ledgerfold_shipped = True

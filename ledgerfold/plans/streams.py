@@ -45,8 +45,8 @@ def stream_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log streamed to files by namespace and stretch, and a follower's range read back from them."""
     folder = work_folder(spark, "stream")
     folds.to_objects(log_source.follow(spark, f"{sf_dir}/log_records.parquet"), folder / "out", folder / "checkpoint", 1024).awaitTermination()
-    back = spark.read.parquet(folder / "out").where("stretch BETWEEN 2 AND 4").select("ns_name", "stretch", "lsn").distinct()
-    return back.groupBy("ns_name", F.col("stretch").cast("bigint").alias("stretch")).agg(F.count("*").alias("n_records"), F.max("lsn").alias("last_lsn"))
+    back = spark.read.schema("ns_name string, lsn bigint, stretch bigint").parquet(folder / "out").where("stretch BETWEEN 2 AND 4").select("ns_name", "stretch", "lsn").distinct()
+    return back.groupBy("ns_name", "stretch").agg(F.count("*").alias("n_records"), F.max("lsn").alias("last_lsn"))
 
 
 @query

@@ -48,3 +48,17 @@ def check(spark, duck, tmp_path, name):
     duck.execute(f"create or replace table wanted as {sql}")
     assert duck.execute(f"select count(*) from (select {columns} from wanted except all select {columns} from got)").fetchone() == (0,)
     assert duck.execute("select (select count(*) from wanted) - (select count(*) from got)").fetchone() == (0,)
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("empty")
+    for path in glob.glob(f"{DIR}/*.parquet"):
+        spark.read.parquet(path).limit(0).coalesce(1).write.parquet(str(at / os.path.basename(path)))
+    return str(at)
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if n.startswith("p") and n[1].isdigit()] + ["stream_objects", "log_recover", "log_gaps"])
+def test_empty_tables(spark, empty_dir, name):
+    full, nothing = entry_module.queries()[name](spark, DIR), entry_module.queries()[name](spark, empty_dir)
+    assert nothing.count() == 0 and nothing.dtypes == full.dtypes

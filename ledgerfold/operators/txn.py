@@ -87,22 +87,18 @@ def units(rows: DataFrame) -> DataFrame:
     at its commit, since a commit replaces the whole object. Entries without a key, and row
     inserts without cells, change nothing.
     """
-    keyed = rows.where(F.col("entry_key").isNotNull())
-    own = ["ns_name", "entry_type", "entry_key", *ORDER]
-    removes = F.col("operation_type") == DELETE
-    simple = keyed.where(
-        F.when(F.col("entry_type") == ROW, F.col("operation_type") == DELETE_ROW).otherwise(F.col("operation_type").isin(INSERT, DELETE))
-    )
-    whole = simple.select(
-        *own,
-        F.when(F.col("entry_type") == CHUNKED, F.concat_ws("/", "lsn", "entry_no")).otherwise("").alias("part"),
-        F.col("entry_value").alias("value"),
-        F.when(F.col("entry_type") == ROW, "bar").when(removes, "del").otherwise("put").alias("kind"),
-    )
-    cells = keyed.where((F.col("entry_type") == ROW) & F.col("operation_type").isin(INSERT, DELETE)).select(
-        *own, F.explode("cells").alias("part", "value"), F.when(removes, "del").otherwise("put").alias("kind")
-    )
-    return whole.unionByName(cells)
+    is_row, removes = F.col("entry_type") == ROW, F.col("operation_type") == DELETE
+    fits = F.when(is_row, F.col("operation_type").isin(INSERT, DELETE, DELETE_ROW)).otherwise(F.col("operation_type").isin(INSERT, DELETE))
+    kind = F.when(removes, "del").otherwise("put")
+    unit = lambda part, value, kind: F.struct(part.alias("part"), value.alias("value"), kind.alias("kind"))
+    cells = F.transform(F.map_entries("cells"), lambda c: unit(c["key"], c["value"], kind))
+    part = F.when(F.col("entry_type") == CHUNKED, F.concat_ws("/", "lsn", "entry_no")).otherwise("")
+    whole = F.array(unit(part, F.col("entry_value"), F.when(is_row, "bar").otherwise(kind)))
+    # one pass over the entries: what an entry changes is an array, of its cells or of itself
+    changes = F.when(is_row & (F.col("operation_type") != DELETE_ROW), cells).otherwise(whole)
+    keyed = rows.where(F.col("entry_key").isNotNull() & fits)
+    out = keyed.select("ns_name", "entry_type", "entry_key", *ORDER, F.explode(changes).alias("c"))
+    return out.select("ns_name", "entry_type", "entry_key", *ORDER, "c.part", "c.value", "c.kind")
 
 
 def barriers(changes: DataFrame) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import nulls
+from ..session import ship
 from . import skew
 
 
@@ -60,11 +65,102 @@ def sessions(rows: DataFrame, by: list[str], ts: str, gap: str) -> DataFrame:
 
 
 def batches(records: DataFrame, stream: str, block: Column, order: list[str], size: Column, limit: int) -> DataFrame:
-    """records with batch_no: in order by running size, a new batch beginning where limit bytes were filled. block grows
-    with order and cuts long streams, as skew.running() needs it."""
+    """records with batch_no in bins of the running size: the whole part of (bytes before the record / limit). What a bin has
+    over limit counts for the next, so bins can be short and numbers can be missing; a sender's batches are flushes(). block
+    grows with order and cuts long streams, as skew.running() needs it."""
     return skew.running(records, [stream], block, order, size, "_before").withColumn("batch_no", F.floor(F.col("_before") / limit)).drop("_before")
 
 
+def flush_map(sizes: list[int], limit: int) -> tuple[list[int], list[int], list[int], int]:
+    """What a block of records does to an open batch, whatever its size: (least, n, rest, total). An open batch of least[i]
+    to least[i + 1] - 1 bytes (at the end limit - 1) leaves n[i] batches full and rest[i] bytes open; one under least[0] isn't
+    filled and grows by total. After its first flush a block goes on in the same way whatever was open, so there are
+    no more entries than records in one batch."""
+    upto, known = [0, *accumulate(sizes)], {}
+    total = upto[-1]
+
+    def after(k: int) -> tuple[int, int]:
+        path = []
+        while k not in known:
+            path.append(k)
+            if (to := bisect_left(upto, upto[k] + limit)) == len(upto):
+                known[k] = (0, total - upto[k])
+            else:
+                k = to
+        n, rest = known[k]
+        for k in reversed(path):
+            if k not in known:
+                n += 1
+                known[k] = (n, rest)
+        return known[path[0]] if path else (n, rest)
+
+    found = []
+    for k in range(1, len(upto)):
+        if upto[k] > upto[k - 1]:
+            n, rest = after(k)
+            found.append((max(0, limit - upto[k]), n + 1, rest))
+        if upto[k] >= limit:
+            break
+    found.sort()
+    return [x[0] for x in found], [x[1] for x in found], [x[2] for x in found], total
+
+
+def flushes(records: DataFrame, stream: str, block: Column, order: list[str], size: Column, limit: int) -> DataFrame:
+    """records with batch_no as a sender cuts them: in order, sizes are added up until they reach limit; that record ends the
+    batch, and the next begins from 0. Only the last batch of a stream can be under limit. A size of null counts as 0.
+
+    block grows with order, which has no nulls, and cuts long streams. flush_map() of each block comes first, then for each stream, from
+    block to block, the size of the open batch and the number of full ones, then the blocks' records. So a task holds
+    one block, or the maps of one stream.
+    """
+    ship(records.sparkSession)
+    place = [*nulls.names([stream]), skew.BLOCK]
+    own = records.select("*", *nulls.split(records, [stream]), block.cast("bigint").alias(skew.BLOCK), F.coalesce(size.cast("bigint"), F.lit(0)).alias("_size"))
+    kinds, columns = {f.name: f.dataType.simpleString() for f in own.schema.fields}, records.columns
+    names = lambda some: ", ".join(f"`{c}` {kinds[c]}" for c in some)
+
+    def in_order(rows):
+        return rows.sort_by([(c, "ascending") for c in order])
+
+    def maps(rows):
+        import pyarrow as pa
+
+        least, n, rest, total = flush_map(in_order(rows)["_size"].to_pylist(), limit)
+        big = pa.list_(pa.int64())
+        first = rows.select(place).slice(0, 1)
+        for name, value, kind in (("least", least, big), ("n", n, big), ("rest", rest, big), ("total", total, pa.int64())):
+            first = first.append_column(name, pa.array([value], kind))
+        return first
+
+    def starts(rows):
+        import pyarrow as pa
+
+        rows, done, open_, before = rows.sort_by(skew.BLOCK), 0, 0, []
+        for r in rows.select(["least", "n", "rest", "total"]).to_pylist():
+            before.append((done, open_))
+            i = bisect_right(r["least"], open_) - 1
+            done, open_ = (done, open_ + r["total"]) if i < 0 else (done + r["n"][i], r["rest"][i])
+        out = rows.select(place).append_column("_done", pa.array([x[0] for x in before], pa.int64()))
+        return out.append_column("_open", pa.array([x[1] for x in before], pa.int64()))
+
+    def cut(rows):
+        import pyarrow as pa
+
+        rows = in_order(rows)
+        done, open_, out = rows["_done"][0].as_py(), rows["_open"][0].as_py(), []
+        for n in rows["_size"].to_pylist():
+            out.append(done)
+            open_ += n
+            if open_ >= limit:
+                done, open_ = done + 1, 0
+        return rows.select(columns).append_column("batch_no", pa.array(out, pa.int64()))
+
+    slim = own.select(*place, *dict.fromkeys(c for c in order if c not in place), "_size")
+    found = slim.groupBy(*place).applyInArrow(maps, f"{names(place)}, least array<bigint>, n array<bigint>, rest array<bigint>, total bigint")
+    begin = found.groupBy(*place[:-1]).applyInArrow(starts, f"{names(place)}, _done bigint, _open bigint")
+    return own.join(begin, place).groupBy(*place).applyInArrow(cut, f"{names(columns)}, batch_no bigint")
+
+
 #: Percent of log lines kept by level unless others are given, fixed values.
 LEVEL_PERCENT = {"debug": 100.0, "info": 25.0, "warn": 100.0, "error": 100.0}
 

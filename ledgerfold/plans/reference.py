@@ -400,10 +400,10 @@ def stream_batches_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of at least 1,024 bytes that a sender makes of each consumer's records, in the order of arrival."""
+    """Batches of at least 1,024 bytes, but for the last, that a sender makes of each consumer's records, in the order of arrival."""
     r = table(spark, sf_dir, "stream_batches").select("consumer_id", "batch_id", F.posexplode("records").alias("pos", "r"))
     flat = r.select("consumer_id", "batch_id", "pos", F.octet_length("r.record").cast("bigint").alias("n_bytes"))
-    out = metrics.batches(flat, "consumer_id", F.floor(F.col("batch_id") / 4096), ["batch_id", "pos"], F.col("n_bytes"), 1024)
+    out = metrics.flushes(flat, "consumer_id", F.floor(F.col("batch_id") / 4096), ["batch_id", "pos"], F.col("n_bytes"), 1024)
     return out.groupBy("consumer_id", "batch_no").agg(F.count("*").alias("n_records"), F.sum("n_bytes").alias("n_bytes"))
 
 

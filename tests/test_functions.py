@@ -128,3 +128,48 @@ def test_samples_and_synthetic_rows(spark):
     sizes = [len(r.value) for r in synthetic.values(spark, 200).collect()]
     assert min(sizes) >= 100 and max(sizes) <= 102_400 and 150 < sum(s <= 2048 for s in sizes) < 199
     assert {r.key_no for r in synthetic.picks(spark, 500, 10).collect()} == set(range(10))
+
+
+def sent(rows, limit):
+    """(stream, seq) and batch number as the sender's loop cuts them."""
+    out, at = {}, {}
+    for s, seq, size in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        done, size_open = at.get(s, (0, 0))
+        out[s, seq], size_open = done, size_open + (size or 0)
+        at[s] = (done + 1, 0) if size_open >= limit else (done, size_open)
+    return out
+
+
+def test_sender_flushes(spark):
+    """A flush resets the size, so what a batch has over the limit doesn't shorten the next; one stream has most records."""
+    r = random.Random(0)
+    rows = [("s", i, 400) for i in range(6)] + [(r.choice([None, "hot", "hot", "hot"]), i, r.choice([0, None, 1, 90, 300, 999, 1000, 2500])) for i in range(600)]
+    rows += [("small", i, 7) for i in range(40)] + [("empty", 0, None)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "s string, seq int, size int")
+    for limit, width in ((1000, 2), (1000, 50), (1, 7), (5000, 3)):
+        got = metrics.flushes(df, "s", F.floor(F.col("seq") / width), ["seq"], F.col("size"), limit)
+        assert got.columns == ["s", "seq", "size", "batch_no"]
+        assert {(x.s, x.seq): x.batch_no for x in got.collect()} == sent(rows, limit)
+    assert [sent(rows, 1000)["s", i] for i in range(6)] == [0, 0, 0, 1, 1, 1]
+    assert metrics.flushes(df.limit(0), "s", F.floor(F.col("seq") / 2), ["seq"], F.col("size"), 1000).count() == 0
+
+
+def test_stream_flushes_query(spark):
+    """Numbers without gaps, and only the last batch of a consumer under 1,024 bytes."""
+    import os
+
+    import __spark_entry__
+
+    at = "/root/testdata/sf0.001"
+    if not os.path.exists(at):
+        pytest.skip("no test tables here")
+    rows = spark.read.parquet(f"{at}/stream_batches.parquet").select("consumer_id", "batch_id", F.posexplode("records")).select("consumer_id", "batch_id", "pos", F.octet_length("col.record")).collect()
+    wanted = {}
+    numbers, sizes = sent([(c, (b, p), n) for c, b, p, n in rows], 1024), {(c, (b, p)): n or 0 for c, b, p, n in rows}
+    for (c, place), no in numbers.items():
+        n, total = wanted.get((c, no), (0, 0))
+        wanted[c, no] = (n + 1, total + sizes[c, place])
+    assert {(x.consumer_id, x.batch_no): (x.n_records, x.n_bytes) for x in __spark_entry__.queries()["stream_flushes"](spark, at).collect()} == wanted
+    last = {c: max(no for k, no in wanted if k == c) for c, _ in wanted}
+    assert all(total >= 1024 or no == last[c] for (c, no), (_, total) in wanted.items())

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,6 +29,11 @@ BLOCK_BYTES = 1 << 20
 PIECE = 1 << 20
 
 WORD = re.compile(rb"[a-z0-9]+")
+#: A number with a decimal point or with commas before thousands; dotted and listed numbers, as in 1.2.3 and 1,2,3, are several.
+GROUPED = rb"(?:[0-9]{1,3}(?:,[0-9]{3}){1,9}(?:\.[0-9]+)?|[0-9]+\.[0-9]+)"
+DECIMAL = re.compile(GROUPED)
+#: The words of same_questions(): such numbers are one word, with what follows them.
+VALUE_WORD = re.compile(rb"(?<![0-9][.,])%s(?![0-9]|[.,][0-9])[a-z0-9]*|[a-z0-9]+" % GROUPED)
 
 #: Units of measure, fixed values.
 UNITS = """
@@ -46,7 +52,14 @@ lisa lucy maria mark martin mary max mia michael nina noah olivia paul peter rac
 thomas tim tom william
 """.split()
 
-QUANTITY = re.compile(rb"[0-9]+(?:%s)" % "|".join(sorted(UNITS, key=len, reverse=True)).encode())
+
+
+def quantity(units: Iterable[str]) -> re.Pattern:
+    """A number with one of units directly behind it."""
+    return re.compile(rb"(?:%s|[0-9]+)(?:%s)" % (GROUPED, "|".join(map(re.escape, sorted(units, key=len, reverse=True))).encode()))
+
+
+QUANTITY = quantity(UNITS)
 
 #: Template numbers: 0 breaks a stretch, the kinds of slots follow, and literal words come after them.
 BREAK, NUMBER, QUANTITY_SLOT, UNIT, NAME, FIRST_LITERAL = 0, 1, 2, 3, 4, 5
@@ -54,7 +67,7 @@ BREAK, NUMBER, QUANTITY_SLOT, UNIT, NAME, FIRST_LITERAL = 0, 1, 2, 3, 4, 5
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-def slot_kind(word: bytes, names: frozenset[bytes], units: frozenset[bytes]) -> int:
+def slot_kind(word: bytes, names: frozenset[bytes], units: frozenset[bytes], quantities: re.Pattern = QUANTITY) -> int:
     """The kind of slot a word fills by itself, whatever stands around it; BREAK if none."""
     if word.isdigit():
         return NUMBER
@@ -62,7 +75,9 @@ def slot_kind(word: bytes, names: frozenset[bytes], units: frozenset[bytes]) ->
         return UNIT
     if word in names:
         return NAME
-    return QUANTITY_SLOT if word[0] < 0x3A and QUANTITY.fullmatch(word) else BREAK
+    if word[0] < 0x3A:
+        return NUMBER if DECIMAL.fullmatch(word) else QUANTITY_SLOT if quantities.fullmatch(word) else BREAK
+    return BREAK
 
 
 class Template:
@@ -70,14 +85,15 @@ class Template:
 
     LIMIT = 400_000
 
-    def __init__(self, held_out: Iterable[bytes], names: Iterable[str] = NAMES, units: Iterable[str] = UNITS):
-        self.names, self.units = (frozenset(x.encode() for x in xs) for xs in (names, units))
-        vocabulary = sorted({w for text in held_out for w in WORD.findall(text.lower())})
+    def __init__(self, held_out: Iterable[bytes], names: Iterable[str] = NAMES, units: Iterable[str] = UNITS, word: re.Pattern = WORD):
+        names, units = ([x.lower() for x in xs] for xs in (names, units))
+        self.names, self.units, self.quantities = frozenset(x.encode() for x in names), frozenset(x.encode() for x in units), quantity(units)
+        vocabulary = sorted({w for text in held_out for w in word.findall(text.lower())})
         self.template, self.exact, self.codes = [BREAK, NUMBER, QUANTITY_SLOT, UNIT, NAME], [0] * 5, {}
-        for word in vocabulary:
-            self.codes[word] = len(self.template)
+        for w in vocabulary:
+            self.codes[w] = len(self.template)
             self.exact.append(len(self.template))
-            self.template.append(slot_kind(word, self.names, self.units) or len(self.template))
+            self.template.append(slot_kind(w, self.names, self.units, self.quantities) or len(self.template))
 
     def coder(self) -> dict:
         """A dict from words to codes. Words outside the vocabulary have the code of their kind of slot."""
@@ -90,7 +106,7 @@ class _Coder(dict):
         self.t, self.kept = t, len(t.codes) + t.LIMIT
 
     def __missing__(self, word: bytes) -> int:
-        kind = slot_kind(word, self.t.names, self.t.units)
+        kind = slot_kind(word, self.t.names, self.t.units, self.t.quantities)
         if len(word) <= 32 and len(self) < self.kept:
             self[word] = kind
         return kind
@@ -137,6 +153,12 @@ class Stretches:
     def pieces(self, data: bytes) -> Iterator[list[bytes]]:
         """The words of a text, a piece at a time, each with the last words of the piece before."""
         at, carry = 0, []
+        if not self.exact:
+            found = iter(VALUE_WORD.findall(data.lower())) if len(data) <= PIECE else (m[0] for m in VALUE_WORD.finditer(data.lower()))
+            while words := list(islice(found, PIECE // 2)):
+                yield carry + words
+                carry = (carry + words)[-(self.window - 1) :] if self.window > 1 else []
+            return
         while at < len(data):
             end = min(len(data), at + PIECE)
             while end < len(data) and WORD.match(data[end : end + 1].lower()):
@@ -204,7 +226,7 @@ def _scan(docs: DataFrame, id_column: str, text_column: str, name: str, make) ->
     return small_batches(texts).mapInArrow(run, f"`{name}` {kind}, key bigint, words string")
 
 
-def joined(docs: DataFrame, items: DataFrame, id_column: str, text_column: str, item_column: str, passage_column: str, window: int, exact: bool, literals: int, block_bytes: int) -> DataFrame:
+def joined(docs: DataFrame, items: DataFrame, id_column: str, text_column: str, item_column: str, passage_column: str, window: int, exact: bool, literals: int, block_bytes: int, names: Iterable[str] = NAMES, units: Iterable[str] = UNITS) -> DataFrame:
     """(id, item, key, doc_words, item_words): stretches of documents and held-out texts with equal templates, slots agreeing.
 
     The held-out texts go through in blocks whose size is checked, so what a block broadcasts, its words, hashes and
@@ -215,15 +237,15 @@ def joined(docs: DataFrame, items: DataFrame, id_column: str, text_column: str,
     items = items.select(item_column, F.col(passage_column).cast("binary").alias("_passage")).where(F.col("_passage").isNotNull())
     total = items.agg(F.sum(F.octet_length("_passage"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    out = None
+    word, names, units, out = WORD if exact else VALUE_WORD, list(names), list(units), None
     for no in range(blocks):
         own = items.where(F.pmod(F.xxhash64(item_column, "_passage"), F.lit(blocks)) == no)
-        template = Template(bytes(r[0]) for r in own.select("_passage").toLocalIterator())
+        template = Template((bytes(r[0]) for r in own.select("_passage").toLocalIterator()), names, units, word)
         templates: set[int] = set()
         copies: set[int] = set()
         s = Stretches(template, window)
         for (passage,) in own.select("_passage").toLocalIterator():
-            codes = np.array([s.coder[w] for w in WORD.findall(bytes(passage).lower())], np.int64)
+            codes = np.array([s.coder[w] for w in word.findall(bytes(passage).lower())], np.int64)
             if len(codes) >= window:
                 templates.update(hashes(s.template[codes], window).tolist())
                 copies.update(hashes(s.exact_number[codes], window).tolist())
@@ -246,13 +268,14 @@ def copies(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_co
     return pairs.where(F.col("doc_words") == F.col("item_words")).select(id_column, item_column).distinct()
 
 
-def same_questions(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", passage_column: str = "passage", window: int = WINDOW, literals: int = LITERALS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def same_questions(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", passage_column: str = "passage", window: int = WINDOW, literals: int = LITERALS, block_bytes: int = BLOCK_BYTES, names: Iterable[str] = NAMES, units: Iterable[str] = UNITS) -> DataFrame:
     """(id, item, n_changed, n_same): stretches of a document that are an item's with other numbers, names or units,
     put in for the old ones consistently, and stretches with the same ones; pairs without a changed stretch don't appear.
 
-    Counted are distinct stretches of the document with at least one slot and at least literals words that are none.
+    Counted are distinct stretches of the document with at least one slot and at least literals words that are none. A
+    number with a decimal point or commas before thousands is one slot. names and units say which words are such slots.
     """
-    pairs = joined(docs, items, id_column, text_column, item_column, passage_column, window, False, literals, block_bytes)
+    pairs = joined(docs, items, id_column, text_column, item_column, passage_column, window, False, literals, block_bytes, names, units)
     agrees = F.col("doc_words") == F.col("item_words")
     by_stretch = pairs.groupBy(id_column, item_column, "doc_words").agg(F.max(agrees).alias("same"))
     out = by_stretch.groupBy(id_column, item_column).agg(F.count_if(~F.col("same")).alias("n_changed"), F.count_if("same").alias("n_same"))

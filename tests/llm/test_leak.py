@@ -138,3 +138,32 @@ def test_other_parameters_against_brute_force(spark, seed):
     got = {(x.doc_id, x.item_id): (x.n_changed, x.n_same) for x in leak.same_questions(d, i).collect()}
     wanted = brute_changed(docs, items)
     assert wanted and got == wanted
+
+
+def test_given_names_and_decimals(spark):
+    """Names outside the fixed list are slots where the caller gives them; 1,200 and 1.5 are one slot each, 1.2.3 and 1,2,3 are three."""
+    item = "if Alice has 900 apples and Bob has 7 apples then they carry the whole load 5km to the old market"
+    docs = {
+        1: "if Pierre has 40 apples and Bob has 7 apples then they carry the whole load 5km to the old market",
+        2: "if Alice has 1,200 apples and Bob has 1.5 apples then they carry the whole load 2.5km to the old market",
+        3: "if Alice has 1,2,3 apples and Bob has 1.2.3 apples then they carry the whole load 5km to the old market",
+    }
+    d = spark.createDataFrame([(k, v, "k", "w") for k, v in docs.items()], DOCS)
+    i = spark.createDataFrame([("a", item, "")], ITEMS)
+    n = lambda **more: {r.doc_id: r.n_changed for r in leak.same_questions(d, i, **more).collect()}
+    every = len(item.split()) - 13 + 1
+    fixed, given = n(), n(names=["Pierre", "Alice", "Bob"])
+    assert fixed[2] == every and given[1] > fixed.get(1, 0) and given[2] == every
+    assert fixed[3] == 1  # the last stretch, with 3 for 7
+    assert n(units=[]).get(2, 0) < every
+    assert leak.VALUE_WORD.findall(b"1,200.5kg 12,34 1.5. v1.5 1,200,30 3.14,") == [b"1,200.5kg", b"12", b"34", b"1.5", b"v1", b"5", b"1", b"200", b"30", b"3.14"]
+
+
+def test_decimals_in_long_texts(monkeypatch):
+    """A text in pieces has the same stretches as a whole one."""
+    r = random.Random(1)
+    text = " ".join(r.choice(["alice", "has", "1.5", "1,200", "7", "red", "apples", "then", "and"]) for _ in range(400)).encode()
+    found = lambda: leak.Stretches(leak.Template([text], word=leak.VALUE_WORD), 13, None, False, 5).found(text)
+    whole = found()
+    monkeypatch.setattr(leak, "PIECE", 40)
+    assert whole and found() == whole

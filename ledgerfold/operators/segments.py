@@ -48,15 +48,20 @@ def totals(headers: DataFrame) -> DataFrame:
     )
 
 
-def retention(headers: DataFrame, keep: int, checkpoints: DataFrame | None = None, least: int = 1) -> DataFrame:
+def retention(headers: DataFrame, keep: int, checkpoints: DataFrame | None = None, least: int = 1, cutoff: Column | None = None) -> DataFrame:
     """(ns_name, segment_id): sealed segments to delete so that each namespace keeps at most keep and at least least.
 
-    The oldest go first. With checkpoints (ns_name, checkpoint_segment) only segments before the checkpoint's go.
+    The oldest go first. With cutoff, a namespace of at most keep but more than least segments loses as many of them as are
+    sealed and were last modified at cutoff or before; least doesn't limit their number, as in the reference. With
+    checkpoints (ns_name, checkpoint_segment) only segments before the checkpoint's go.
     """
-    h = current_headers(headers).select("ns_name", "segment_id", is_sealed(F.col("flags")).alias("sealed"))
+    h = current_headers(headers)
+    old = F.lit(False) if cutoff is None else F.coalesce(F.col("last_modified_at") <= cutoff, F.lit(False))
+    h = h.select("ns_name", "segment_id", F.coalesce(is_sealed(F.col("flags")), F.lit(False)).alias("sealed"), old.alias("old"))
     w = W.partitionBy("ns_name")
-    ranked = h.withColumn("n", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("segment_id")))
-    surplus = F.least(F.col("n") - keep, F.col("n") - least)
+    ranked = h.withColumn("n", F.count("*").over(w)).withColumn("n_old", F.count_if(F.col("sealed") & F.col("old")).over(w))
+    ranked = ranked.withColumn("rank", F.count_if("sealed").over(w.orderBy("segment_id")))
+    surplus = F.when(F.col("n") > keep, F.least(F.col("n") - keep, F.col("n") - least)).when(F.col("n") > least, F.col("n_old")).otherwise(0)
     out = ranked.where(F.col("sealed") & (F.col("rank") <= surplus)).select("ns_name", "segment_id")
     if checkpoints is not None:
         out = out.join(checkpoints, "ns_name").where(F.col("segment_id") < F.col("checkpoint_segment")).select("ns_name", "segment_id")

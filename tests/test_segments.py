@@ -47,6 +47,21 @@ def test_headers_and_retention(spark):
     assert [tuple(x) for x in segments.last_sealed(h).collect()] == [("a", 5)]
 
 
+def test_retention_by_age(spark):
+    """Within keep, old sealed segments go; an unsealed one takes no place among the sealed."""
+    rows = [("a", i, t, 1, 1, flags, 1) for i, t, flags in ((1, 5, 2), (2, 5, 0), (3, 5, 2), (4, 9, 2), (5, None, 2), (6, 9, 8))] + [("one", 1, 1, 1, 1, 2, 1)]
+    h = spark.createDataFrame(rows, HEADERS)
+    ids = lambda *a, **k: [(x.ns_name, x.segment_id) for x in segments.retention(h, *a, **k).orderBy("ns_name", "segment_id").collect()]
+    at = F.lit(5).cast(h.schema["last_modified_at"].dataType)
+    assert ids(4) == [("a", 1), ("a", 3)]
+    assert ids(10) == []
+    assert ids(10, cutoff=at) == [("a", 1), ("a", 3)]
+    assert ids(4, cutoff=F.lit(9).cast(h.schema["last_modified_at"].dataType)) == [("a", 1), ("a", 3)]
+    assert ids(10, least=6, cutoff=at) == []
+    marks = spark.createDataFrame([("a", 2)], "ns_name string, checkpoint_segment bigint")
+    assert ids(10, marks, cutoff=at) == [("a", 1)]
+
+
 def test_positions_and_ranges(spark):
     records = random_log(2)
     log = spark.createDataFrame(records, LOG)

@@ -1,22 +1,30 @@
 """Runs that process only what is new, and the records that followers of a log still have to process.
 
-A run reads the watermark of the last committed run, fixes its upper limit, processes what lies between, writes its
-output and the new watermark beside each other, and commits both by one atomic file. A run that fails leaves no commit:
-the next one starts from the same watermark and writes the same places anew, so nothing is skipped or repeated.
+A run reads the watermark of the last committed run, fixes its upper limit and writes it down, processes what lies between,
+writes its output and the new watermark beside each other, and commits both by one atomic file. A run that fails leaves no commit:
+the next one starts from the same watermark and writes folders of its own, so nothing is skipped or repeated.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from ..session import Folder
+from ..functions import bitmaps
+from ..session import Folder, attempt, staged
 
 #: Log sequence numbers are handled in stretches of this many.
 STRETCH = 4096
 
 
+def literal(value, kind: T.DataType) -> Column:
+    """A value that was collected, as a literal of its column's type; times as text, so that no time zone of Python's comes in."""
+    return F.lit(value if isinstance(value, (int, float, str)) else str(value)).cast(kind)
+
+
 class IncrementalStore:
     """Outputs and watermarks of committed runs in one folder."""
 
@@ -26,48 +34,82 @@ class IncrementalStore:
     def runs(self) -> list[int]:
         return sorted(int(n[:-5]) for n in self.folder.names("commits") if n.endswith(".json"))
 
+    def manifest(self) -> dict:
+        """The last run, and the folder of each run by part."""
+        done = self.runs()
+        return self.folder.read_json(f"commits/{done[-1]}.json") if done else {"run": 0, "marks": None}
+
     def marks(self) -> DataFrame | None:
         """The watermark of each stream after the last committed run; None before the first."""
-        done = self.runs()
-        return self.spark.read.parquet(self.folder / f"marks/run={done[-1]}") if done else None
+        at = self.manifest()["marks"]
+        return self.spark.read.parquet(self.folder / f"marks/{at}") if at else None
+
+    def part(self, name: str, *runs: int) -> DataFrame | None:
+        """What the committed runs, or those named, gave beside each other under a name; None if nothing."""
+        held = self.manifest().get(name, {})
+        paths = [self.folder / f"{name}/{f}" for n, f in held.items() if not runs or int(n) in runs]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def output(self, *runs: int) -> DataFrame:
         """What the committed runs gave, or those named."""
-        return self.spark.read.parquet(*[self.folder / f"out/run={n}" for n in (runs or self.runs())])
-
-    def commit(self, output: DataFrame, marks: DataFrame) -> int:
-        """Write output and watermarks, then commit both at once; returns the run's number."""
-        done = self.runs()
-        run = (done[-1] if done else 0) + 1
-        output.write.mode("overwrite").parquet(self.folder / f"out/run={run}")
-        marks.write.mode("overwrite").parquet(self.folder / f"marks/run={run}")
-        self.folder.commit_json(f"commits/{run}.json", {"run": run})
+        return self.part("out", *runs)
+
+    def commit(self, output: DataFrame | dict[str, DataFrame], marks: DataFrame, before: dict | None = None) -> int:
+        """Write output, or several by name of which one is out, and watermarks, then commit all at once; returns the run's number.
+        Of two writers of one run the second to commit gets FileExistsError, and what it wrote is never read."""
+        before = self.manifest() if before is None else before
+        run = before["run"] + 1
+        at, now = attempt(run), dict(before)
+        for name, df in (output if isinstance(output, dict) else {"out": output}).items():
+            df.write.parquet(self.folder / f"{name}/{at}")
+            now[name] = now.get(name, {}) | {str(run): at}
+        marks.write.parquet(self.folder / f"marks/{at}")
+        self.folder.commit_json(f"commits/{run}.json", now | {"run": run, "marks": at})
         return run
 
-    def run(self, source: DataFrame, seq: str, stream: list[str], step: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
+    def run(
+        self, source: DataFrame | Callable[[], DataFrame], seq: str, stream: list[str], step: Callable[[DataFrame], DataFrame | dict[str, DataFrame]] = lambda df: df,
+        upto=None, first_takes_unordered: bool = False,
+    ) -> int:
         """Process the rows of source above each stream's watermark, up to the limit fixed now, and commit.
 
-        seq grows within a stream; rows without it can't be ordered and are left out of every run. Rows that arrive
-        while the run is working have a seq above the limit and belong to the next run. Streams may be null.
+        seq grows within a stream; streams may be null. Rows without seq can't be ordered: the first run takes them with
+        first_takes_unordered, else no run does. The limit is each stream's highest seq, or upto where that is lower. Limits are written
+        before anything is processed, and both the rows and the new watermarks come from what was written, so rows
+        that arrive while the run is working, even if source is read anew by each job or is a function that reads it,
+        are above the limit and belong to the next run. The lowest watermark and the highest limit reach the scan as literals.
         """
-        at = f"limits/run={(self.runs() or [0])[-1] + 1}"
-        tops = source.where(F.col(seq).isNotNull()).groupBy(*stream).agg(F.max(seq).alias("_top"))
-        before = self.marks()
-        if before is not None:
-            tops = tops.unionByName(before.select(*stream, F.col("mark").alias("_top"))).groupBy(*stream).agg(F.max("_top").alias("_top"))
-        tops.write.mode("overwrite").parquet(self.folder / at)
-        limits = self.spark.read.parquet(self.folder / at)
-        bounds = limits.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(stream)], "_top")
-        if before is not None:
-            low = before.select(*[F.col(c).alias(f"_m{i}") for i, c in enumerate(stream)], F.col("mark").alias("_low"))
-            both = [F.col(f"_s{i}").eqNullSafe(F.col(f"_m{i}")) for i in range(len(stream))]
-            bounds = bounds.join(low, both, "left").select(*[f"_s{i}" for i in range(len(stream))], "_top", "_low")
+        read = source if callable(source) else lambda: source
+        before_run, before = self.manifest(), self.marks()
+        names, lows = [f"_s{i}" for i in range(len(stream))], [f"_m{i}" for i in range(len(stream))]
+        kind = read().schema[seq].dataType
+        below = F.lit(True) if upto is None else F.col(seq) <= literal(upto, kind)
+        tops = read().where(F.col(seq).isNotNull() & below).groupBy(*stream).agg(F.max(seq).alias("_top"))
+        bounds = tops.select(*[F.col(c).alias(n) for c, n in zip(stream, names)], "_top")
+        if before is None:
+            bounds = bounds.withColumn("_low", F.lit(None).cast(kind))
         else:
-            bounds = bounds.withColumn("_low", F.lit(None).cast("bigint"))
-        same = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(stream)]
-        todo = source.join(bounds, [*same, F.col(seq) <= F.col("_top"), F.col("_low").isNull() | (F.col(seq) > F.col("_low"))])
-        todo = todo.drop("_top", "_low", *[f"_s{i}" for i in range(len(stream))])
-        return self.commit(step(todo), limits.withColumnRenamed("_top", "mark"))
+            own = before.select(*[F.col(c).alias(n) for c, n in zip(stream, lows)], F.col("mark").alias("_low"))
+            same = reduce(and_, (F.col(n).eqNullSafe(F.col(m)) for n, m in zip(names, lows)), F.lit(True))
+            both = bounds.withColumn("_in", F.lit(True)).join(own.withColumn("_had", F.lit(True)), same, "full_outer")
+            keep = [F.when(F.col("_in"), F.col(n)).otherwise(F.col(m)).alias(n) for n, m in zip(names, lows)]
+            bounds = both.select(*keep, F.greatest("_top", "_low").alias("_top"), "_low")
+        limits = staged(bounds, self.folder, f"limits/{attempt(before_run['run'] + 1)}")
+        low, new_streams, high = limits.agg(F.min("_low"), F.count_if(F.col("_low").isNull()), F.max("_top")).first()
+        rows = read()
+        unordered = before is None and first_takes_unordered
+        inside = F.lit(True) if high is None else F.col(seq) <= literal(high, kind)
+        if low is not None and not new_streams:
+            inside = inside & (F.col(seq) > literal(low, kind))
+        rows = rows.where(F.col(seq).isNull() | inside) if unordered else rows.where(F.col(seq).isNotNull() & inside)
+        same = reduce(and_, (F.col(c).eqNullSafe(F.col(n)) for c, n in zip(stream, names)), F.lit(True))
+        ordered = same & (F.col(seq) <= F.col("_top")) & (F.col("_low").isNull() | (F.col(seq) > F.col("_low")))
+        if unordered:
+            todo = rows.join(limits, same, "left").where(F.col(seq).isNull() | ordered)
+        else:
+            todo = rows.join(limits, ordered)
+        marks = limits.select(*[F.col(n).alias(c) for c, n in zip(stream, names)], F.col("_top").alias("mark"))
+        return self.commit(step(todo.drop("_top", "_low", *names)), marks, before_run)
 
 
 def log_runs(log: DataFrame) -> DataFrame:
@@ -115,8 +157,13 @@ def outstanding(log: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFra
     Everything is cut into stretches of LSNs. A follower, namespace or range with most of the rows is thus spread over
     many groups, and repeated ranges combine before they are shuffled.
     """
-    runs = log_runs(log)
-    bounds = log.groupBy("ns_name").agg(F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"))
+    return outstanding_in(log_runs(log), requests)
+
+
+def outstanding_in(runs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of the records in runs (ns_name, stretch, lo, hi). Every record is decided by the requests alone: a null
+    start_lsn only means that there is no lower limit, so any part of a log gives its part of the result."""
+    bounds = runs.groupBy("ns_name").agg(F.min("lo").alias("first_lsn"), F.max("hi").alias("last_lsn"))
     marks = marks_of(requests, bounds)
     who = ["consumer_id", "ns_name"]
 
@@ -146,3 +193,34 @@ def outstanding(log: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFra
     )
     lsn = F.explode(F.sequence(F.greatest("from_lsn", "r_lo"), F.least("to_lsn", "r_hi"))).alias("lsn")
     return found.select(*who, lsn), marks
+
+
+def new_records(store: IncrementalStore, rows: DataFrame, name: str = "seen") -> tuple[DataFrame, DataFrame]:
+    """(ns_name, stretch, lo, hi) of the records in rows that no committed run of the store has had, and what the store must
+    commit under name so that later runs know them: (ns_name, shard, bits).
+
+    A repeated lsn of a namespace is the same record, whenever it arrives again. Only shards that rows touch are compared.
+    """
+    own = rows.where(F.col("lsn").isNotNull()).select("ns_name", "lsn", bitmaps.bucket(F.col("lsn")).alias("shard"))
+    seen = store.part(name)
+    if seen is not None:
+        touched = own.select(F.col("ns_name").alias("t_ns"), F.col("shard").alias("t_shard")).distinct()
+        s = seen.join(touched, F.col("ns_name").eqNullSafe(F.col("t_ns")) & (F.col("shard") == F.col("t_shard")), "left_semi")
+        s = s.groupBy(F.col("ns_name").alias("s_ns"), F.col("shard").alias("s_shard")).agg(F.bitmap_or_agg("bits").alias("bits"))
+        known = F.coalesce(bitmaps.is_set(F.col("bits"), bitmaps.bit(F.col("lsn"))), F.lit(False))
+        own = own.join(s, F.col("ns_name").eqNullSafe(F.col("s_ns")) & (F.col("shard") == F.col("s_shard")), "left").where(~known)
+    runs = staged(log_runs(own), store.folder, f"fresh/{attempt(store.manifest()['run'] + 1)}")
+    places = runs.select("ns_name", F.explode(F.sequence("lo", "hi")).alias("lsn"))
+    bits = places.groupBy("ns_name", bitmaps.bucket(F.col("lsn")).alias("shard")).agg(F.bitmap_construct_agg(bitmaps.bit(F.col("lsn"))).alias("bits"))
+    return runs, bits
+
+
+def outstanding_step(store: IncrementalStore, requests: DataFrame) -> Callable[[DataFrame], dict[str, DataFrame]]:
+    """A step for IncrementalStore.run over a log: of the records that are new, those that followers still have to process,
+    (consumer_id, ns_name, lsn). No run repeats a record that an earlier one had."""
+
+    def step(rows: DataFrame) -> dict[str, DataFrame]:
+        runs, bits = new_records(store, rows)
+        return {"out": outstanding_in(runs, requests)[0], "seen": bits}
+
+    return step

@@ -3,7 +3,8 @@
 Prepared entries take effect at their transaction's commit. The effective order is
 (commit_lsn, lsn, entry_no); outside a transaction commit_lsn is the record's own lsn. The commit's
 operation holds for all entries of the transaction. A transaction without a commit has no effect.
-A repeated (ns_name, lsn) is the same record, so every result is the same with or without repeats.
+A repeated (ns_name, lsn) is the same record, so every result is the same with or without repeats. A transaction ends at
+its first commit: a second one, and what was prepared after the first, has no effect.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ def order_key() -> Column:
 
 
 def commits(log: DataFrame) -> DataFrame:
-    """(ns_name, txn_id, commit_lsn, commit_op): one row per committed transaction; of several commits the last."""
+    """(ns_name, txn_id, commit_lsn, commit_op): one row per committed transaction; a transaction ends at its first commit."""
     found = log.where((F.col("txn_state") == COMMIT) & F.col("txn_id").isNotNull())
     return (
         found.groupBy("ns_name", "txn_id")
-        .agg(F.max(F.struct("lsn", "operation_type")).alias("c"))
+        .agg(F.min(F.struct("lsn", "operation_type")).alias("c"))
         .select("ns_name", "txn_id", F.col("c.lsn").alias("commit_lsn"), F.col("c.operation_type").alias("commit_op"))
     )
 
@@ -73,6 +74,12 @@ def invisible(waiting: DataFrame, done: DataFrame) -> DataFrame:
     return waiting.join(c, F.col("ns_name").eqNullSafe(F.col("c_ns")) & (F.col("txn_id") == F.col("c_txn")) & (F.col("lsn") < F.col("commit_lsn")), "left_anti")
 
 
+def uncommitted(waiting: DataFrame, done: DataFrame) -> DataFrame:
+    """Prepared entries of transactions that no commit has ended."""
+    c = done.select(F.col("ns_name").alias("c_ns"), F.col("txn_id").alias("c_txn"))
+    return waiting.join(c, F.col("ns_name").eqNullSafe(F.col("c_ns")) & (F.col("txn_id") == F.col("c_txn")), "left_anti")
+
+
 def effective(log: DataFrame) -> DataFrame:
     """Every entry that takes effect, with ORDER: plain entries and those of committed transactions."""
     rows = entries(log)

@@ -9,17 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators import compare, skew
 from ..operators.change_feed import FeedTable, live_values
 from ..operators.dedup import DedupStore
-from ..operators.incremental import IncrementalStore, outstanding
+from ..operators.incremental import IncrementalStore, literal, outstanding_step
 from ..session import staged, table, work_folder
 
 
+def middle_of(log: DataFrame, column: str):
+    """Half way between the lowest and the highest value of a column; None if there is none."""
+    lo, hi = log.agg(F.min(column), F.max(column)).first()
+    return None if lo is None else lo + (hi - lo) / 2
+
+
 def arrival_halves(log: DataFrame) -> list[DataFrame]:
     """The log as two batches, cut in the middle of its time of arrival; rows without that time are in the first."""
-    lo, hi = log.agg(F.min("ingested_at"), F.max("ingested_at")).first()
-    if lo is None:
+    middle = middle_of(log, "ingested_at")
+    if middle is None:
         return [log]
     # compared as it is stored, so that the scan skips row groups of the other half
-    late = F.col("ingested_at") > F.lit(lo + (hi - lo) / 2).cast(log.schema["ingested_at"].dataType)
+    late = F.col("ingested_at") > literal(middle, log.schema["ingested_at"].dataType)
     return [log.where(~late | F.col("ingested_at").isNull()), log.where(late)]
 
 
@@ -80,9 +86,13 @@ def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the log as it arrived: to the middle of its time of arrival, and from the first run's watermarks on.
+    A record is new when it arrives first, which is the sequence of the watermarks; its LSN may be lower than others' before."""
+    log = table(spark, sf_dir, "log_records").select("ns_name", "lsn", "ingested_at")
     store = IncrementalStore(spark, work_folder(spark, "p4").path)
-    records, marks = outstanding(table(spark, sf_dir, "log_records"), table(spark, sf_dir, "stream_requests"))
-    store.commit(records, marks.select("consumer_id", "ns_name", F.col("hi").alias("mark")))
+    step = outstanding_step(store, table(spark, sf_dir, "stream_requests"))
+    for upto in (middle_of(log, "ingested_at"), None):
+        store.run(log, "ingested_at", ["ns_name"], step, upto=upto, first_takes_unordered=True)
     return store.output().select("consumer_id", "ns_name", "lsn")
 
 

@@ -4,7 +4,7 @@ P1_FOUND = """
 WITH log AS (
   SELECT DISTINCT ON (ns_name, lsn) ns_name, lsn, operation_type AS op, txn_state, entry_type, txn_id, entries FROM log_records
 ), done AS (
-  SELECT ns_name, txn_id, max(lsn) AS commit_lsn, arg_max(op, lsn) AS op FROM log WHERE txn_state = 'Commit' GROUP BY ALL
+  SELECT ns_name, txn_id, min(lsn) AS commit_lsn, arg_min(op, lsn) AS op FROM log WHERE txn_state = 'Commit' GROUP BY ALL
 ), rec AS (
   SELECT ns_name, entry_type, op, lsn AS commit_lsn, lsn, entries FROM log
   WHERE txn_state = 'None' AND entry_type IN ('KV', 'Row') AND op IN ('Insert', 'Delete', 'DeleteRowByKey')

@@ -8,7 +8,7 @@ EFFECTIVE = (
     LOG
     + """
 , done AS (
-  SELECT ns_name, txn_id, max(lsn) AS commit_lsn, arg_max(operation_type, lsn) AS op FROM log WHERE txn_state = 'Commit' GROUP BY ALL
+  SELECT ns_name, txn_id, min(lsn) AS commit_lsn, arg_min(operation_type, lsn) AS op FROM log WHERE txn_state = 'Commit' GROUP BY ALL
 ), rec AS (
   SELECT ns_name, entry_type, operation_type AS op, lsn AS commit_lsn, lsn, entries FROM log
   WHERE txn_state = 'None' AND entry_type IN ('KV', 'Row') AND operation_type IN ('Insert', 'Delete', 'DeleteRowByKey')

@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Largest side, in bytes, that an operator broadcasts. Beyond it the same join shuffles.
@@ -72,23 +73,73 @@ class Folder:
             stream.close()
 
     def commit_json(self, name: str, value: dict) -> None:
-        """Write value under name in one atomic step; FileExistsError if name exists, so of two writers one wins."""
-        draft = self._Path(self / f".{uuid.uuid4().hex}.draft")
-        self.write(draft.getName(), json.dumps(value).encode())
-        target = self._Path(self / name)
+        """Write value under name in one atomic step; FileExistsError if name exists, so of two writers one wins.
+
+        The file is written under another name first and then takes its own only if none has it: by a hard link on a local
+        disk, by a rename on file systems where that never replaces a file, as on HDFS. Object stores, which have neither,
+        create it on condition that it isn't there.
+        """
+        target, data = self._Path(self / name), json.dumps(value).encode()
         self._fs.mkdirs(target.getParent())
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        scheme = self._fs.getUri().getScheme()
+        if scheme in CONDITIONAL:
+            if not self._create_if_absent(target, data):
+                raise FileExistsError(self / name)
+            return
+        draft = self._Path(self / f".{uuid.uuid4().hex}.draft")
+        self.write(draft.getName(), data)
+        try:
+            if not (self._linked(draft, target) if scheme == "file" else self._fs.rename(draft, target)):
+                raise FileExistsError(self / name)
+        finally:
             self._fs.delete(draft, False)
-            raise FileExistsError(self / name)
+
+    def _linked(self, draft, target) -> bool:
+        """Whether the local file target could be made a second name of draft; False if it exists."""
+        jvm = self.spark.sparkContext._jvm
+        path = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:
+            jvm.java.nio.file.Files.createLink(path(target), path(draft))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception.getClass()):
+                return False
+            raise
+        return True
+
+    def _create_if_absent(self, target, data: bytes) -> bool:
+        builder = self._fs.createFile(target).overwrite(False).opt("fs.option.create.conditional.overwrite", True)
+        try:
+            stream = builder.build()
+            stream.write(bytearray(data))
+            stream.close()
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception.getClass()):
+                return False
+            raise
+        return True
+
+
+#: Schemes of object stores that can create a file on condition that it is absent.
+CONDITIONAL = {"s3a", "abfs", "abfss", "gs"}
+
+
+def attempt(number: int) -> str:
+    """A folder name of its own for one attempt to write an epoch or run, so that no other attempt overwrites it."""
+    return f"attempt={number}-{uuid.uuid4().hex[:12]}"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset one of this machine."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset and everything runs on this machine, one of
+    this machine; on a cluster, whose executors don't see the driver's disk, that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="ledgerfold-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not getattr(context, "_ledgerfold_folder", None):
+        context._ledgerfold_folder = "file://" + tempfile.mkdtemp(prefix="ledgerfold-")
+    return context._ledgerfold_folder
 
 
 def work_folder(spark: SparkSession, name: str) -> Folder:

@@ -36,11 +36,33 @@ def test_null_key_is_not_an_empty_key(spark):
 
 
 def test_repeats_and_ties(spark):
-    """Exact repeats count once, however many; of unequal rows with one key the greatest counts on both sides."""
+    """Exact repeats count once, however many; unequal rows with one key are compared as sets."""
     assert run(spark, [("a", b"1", b"x", T1, 1)] * 300, [("a", b"1", b"x", T1, 1)] * 2) == {}
     two = [("a", b"1", b"x", T1, 1), ("a", b"1", None, T1, 9)]
     assert run(spark, two, two[::-1]) == {}
-    assert run(spark, two, two[1:]) == {("a", b"1"): (True, True, [("v", "78", None), ("c", "1", "9")])}
+    assert run(spark, two, two[1:]) == {("a", b"1"): (True, True, [("v", "78", None), ("c", "1", None)])}
+
+
+def test_unequal_rows_of_one_key(spark):
+    """{A, B} against {B} is reported, whichever is the greater, and so are other combinations of the same values."""
+    a, b = ("a", b"1", b"x", T1, 1), ("a", b"1", b"y", T1, 1)
+    for one in (a, b):
+        other = b if one is a else a
+        assert run(spark, [a, b], [one] * 3) == {("a", b"1"): (True, True, [("v", "78" if other is a else "79", None)])}
+        assert run(spark, [one], [a, b]) == {("a", b"1"): (True, True, [("v", None, "78" if other is a else "79")])}
+    c, d = ("a", b"1", b"x", T1, 2), ("a", b"1", b"y", T1, 2)
+    assert run(spark, [a, d], [b, c]) == {("a", b"1"): (True, True, [("rows", None, None)])}
+    assert run(spark, [a, b], [b, a, a]) == {}
+    assert run(spark, [a, b], []) == {("a", b"1"): (True, False, [])}
+    null = ("a", b"1", None, None, None)
+    empty = ("a", b"1", b"", None, None)
+    assert run(spark, [a, null], [a, empty]) == {("a", b"1"): (True, True, [("v", None, "")])}
+
+
+def test_many_unequal_rows_of_a_hot_key(spark):
+    rows = [("a", b"hot", b"%d" % i, T1, i) for i in range(500)]
+    assert run(spark, rows, rows[::-1] * 2) == {}
+    assert run(spark, rows, rows[1:]) == {("a", b"hot"): (True, True, [("v", "30", None), ("c", "0", None)])}
 
 
 def test_empty_and_long(spark):

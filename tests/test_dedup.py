@@ -64,6 +64,49 @@ def test_hot_message_and_nothing(spark):
     assert {tuple(x) for x in store.dropped(spark.createDataFrame(batches, SCHEMA)).collect()} == brute(batches)
 
 
+@pytest.mark.parametrize("seed,compact", [(11, False), (12, True)])
+def test_late_batches(spark, monkeypatch, seed, compact):
+    """Runs that take batches in any order give what one run gives, with arrays of places and with bitmaps."""
+    from ledgerfold.operators import dedup
+
+    monkeypatch.setattr(dedup, "SPARSE", 2 if compact else 256)
+    batches = random_batches(seed)
+    parts = [batches[20:30], batches[:10], batches[30:], batches[10:20]]
+    store = DedupStore(spark, work_folder(spark, "t").path, buckets=3)
+    for i, part in enumerate(parts):
+        store.ingest(spark.createDataFrame(part, SCHEMA))
+        if compact and i > 0:
+            store.compact()
+            store.vacuum()
+    found = [tuple(x) for x in store.dropped(spark.createDataFrame(batches, SCHEMA)).collect()]
+    assert len(found) == len(set(found)) and set(found) == brute(batches)
+
+
+def test_codes_are_dense(spark):
+    """Codes of many consumers in many files, over runs: each number once, from 0, without a gap."""
+    store = DedupStore(spark, work_folder(spark, "t").path)
+    batch = lambda i, c: (i, "c%d" % c, "n", [(1, b"r", zlib.crc32(b"r"))], "", "")
+    store.ingest(spark.createDataFrame([batch(c, c) for c in range(40)], SCHEMA).repartition(9))
+    store.ingest(spark.createDataFrame([batch(100 + c, c) for c in range(30, 70)], SCHEMA).repartition(5))
+    codes = sorted(r.code for r in store.read_part("dictionary", store.manifest()["dictionary"]).collect())
+    assert codes == list(range(70)) and store.manifest()["codes"] == 70
+    assert store.kept().count() == 70
+
+
+def test_only_touched_shards_are_read(spark):
+    store = DedupStore(spark, work_folder(spark, "t").path, buckets=64)
+    good = lambda n: (n, b"r", zlib.crc32(b"r"))
+    store.ingest(spark.createDataFrame([(1, "c", "n", [good(n << 15) for n in range(200)], "", "")], SCHEMA))
+    now = store.manifest()
+    held = store.read_part("seen", now["seen"])
+    assert len(held.inputFiles()) > 30
+    assert len(held.where("bucket IN (3)").select("code").distinct().collect()) <= 1
+    from pyspark.sql import functions as F
+
+    read = store.read_part("seen", now["seen"], [3]).select(F.input_file_name().alias("f")).distinct().collect()
+    assert {r.f.split("bucket=")[1].split("/")[0] for r in read} <= {"3"}
+
+
 def test_failed_run_is_done_again(spark):
     batches = random_batches(7)
     store = DedupStore(spark, work_folder(spark, "t").path)

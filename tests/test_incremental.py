@@ -50,6 +50,99 @@ def test_two_writers_one_wins(spark):
     store.folder.commit_json("commits/1.json", {"run": 1})
     with pytest.raises(FileExistsError):
         store.folder.commit_json("commits/1.json", {"run": 1})
+    assert store.folder.names("commits") == ["1.json"] and not [n for n in store.folder.names() if n.endswith(".draft")]
+
+
+def test_the_loser_leaves_the_winners_rows(spark):
+    """Two writers of one run: the second one to commit fails, and what the first committed stays as it was."""
+    path = work_folder(spark, "t").path
+    one, two = IncrementalStore(spark, path), IncrementalStore(spark, path)
+    rows = lambda v: spark.createDataFrame([("a", 1, v)], "stream string, seq bigint, value string")
+
+    def slow(df):
+        one.run(rows("first"), "seq", ["stream"])
+        return df
+
+    with pytest.raises(FileExistsError):
+        two.run(rows("second"), "seq", ["stream"], slow)
+    assert [r.value for r in one.output().collect()] == ["first"] == [r.value for r in two.output().collect()]
+    assert [r.mark for r in two.marks().collect()] == [1]
+
+
+def test_source_that_grows_between_the_jobs(spark, tmp_path):
+    """The limit is written first: what arrives while a run works belongs to the next run, nothing is skipped or repeated."""
+    path = str(tmp_path / "source")
+    schema = "stream string, seq bigint, value string"
+    add = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    source = lambda: spark.read.schema(schema).parquet(path)
+    store = IncrementalStore(spark, work_folder(spark, "t").path)
+    add(("a", 1, "1"), ("b", 1, "b1"))
+    calls = []
+
+    def reads():  # more has come each time that the source is read
+        calls.append(1)
+        add(("a", 10 + len(calls), "late"), ("c", len(calls), "new"))
+        return source()
+
+    store.run(reads, "seq", ["stream"])
+    marks = {r.stream: r.mark for r in store.marks().collect()}
+    first = {(r.stream, r.seq) for r in store.output().collect()}
+    assert len(calls) > 2 and first == {(r.stream, r.seq) for r in source().collect() if r.seq <= marks.get(r.stream, 0)}
+
+    def fails(df):
+        add(("a", 99, "more"))
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        store.run(source, "seq", ["stream"], fails)
+    store.run(source, "seq", ["stream"])
+    rows = [(r.stream, r.seq) for r in store.output().collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(r.stream, r.seq) for r in source().collect()}
+
+
+def test_limits_reach_the_scan(spark, tmp_path):
+    spark.range(100).selectExpr("'a' AS stream", "id AS seq").write.parquet(str(tmp_path / "s"))
+    source = spark.read.parquet(str(tmp_path / "s"))
+    store = IncrementalStore(spark, work_folder(spark, "t").path)
+    store.run(source, "seq", ["stream"], upto=40)
+    seen = []
+
+    def step(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    store.run(source, "seq", ["stream"], step)
+    assert "GreaterThan(seq,40)" in seen[0] and "LessThanOrEqual(seq,99)" in seen[0]
+    assert store.output(1).count() == 41 and store.output(2).count() == 59
+
+
+def test_unordered_rows(spark):
+    rows = spark.createDataFrame([("a", None, "n"), ("a", 1, "x")], "stream string, seq bigint, value string")
+    store = IncrementalStore(spark, work_folder(spark, "t").path)
+    for _ in range(2):
+        store.run(rows, "seq", ["stream"], first_takes_unordered=True)
+    assert sorted(r.value for r in store.output().collect()) == ["n", "x"]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_outstanding_over_runs(spark, monkeypatch, seed):
+    """A log that arrives in any order and with repeats, in three runs, gives what it gives at once."""
+    monkeypatch.setattr(incremental, "STRETCH", 16)
+    r = random.Random(seed)
+    log = [(ns, n) for ns, start in (("a", 1), (None, 50)) for n in range(start, start + 60)]
+    arrived = r.sample(log, len(log)) + r.sample(log, 30)
+    requests = []
+    for i in range(30):
+        lo = r.choice([None, r.randint(1, 120)])
+        requests.append((i, r.choice(["x", None]), r.choice(["a", None]), lo, r.choice([None, (lo or 0) + r.randint(-2, 30)]), r.choice(["ok", "failed", None])))
+    source = spark.createDataFrame([(*x, i) for i, x in enumerate(arrived)], "ns_name string, lsn bigint, at bigint")
+    store = IncrementalStore(spark, work_folder(spark, "t").path)
+    step = incremental.outstanding_step(store, spark.createDataFrame(requests, REQUESTS))
+    for upto in (30, 90, None):
+        store.run(source, "at", ["ns_name"], step, upto=upto)
+    rows = [tuple(x) for x in store.output().collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == brute(log, requests)
 
 
 def brute(log, requests):

@@ -106,6 +106,78 @@ def test_feed_of_nothing_and_of_repeats(spark):
     assert feed.read().count() == 1
 
 
+@pytest.mark.parametrize("last", [1, 2, None])
+def test_compaction_of_some_folders(spark, last):
+    """Folding the newest folders, or all, changes nothing that is read, then or after more batches."""
+    records = random_log(21)
+    feed = FeedTable(spark, work_folder(spark, "t").path, buckets=4)
+    quarter = len(records) // 4
+    for i in range(4):
+        feed.apply(spark.createDataFrame(records[i * quarter : (i + 1) * quarter if i < 3 else None], LOG))
+        if i in (1, 2):
+            before = places(live_values(feed.read()))
+            feed.compact(last)
+            feed.vacuum()
+            assert places(live_values(feed.read())) == before
+    assert places(live_values(feed.read())) == fold(records)[0]
+
+
+def test_a_second_commit_changes_nothing(spark):
+    """A transaction ends at its first commit, in one batch and over batches alike."""
+    log = [*txn(b"t", "KV", ("B", 1), ("P", 2, (K, b"old"))), *txn(b"t", "KV", ("C", 3)), kv(4, K, b"new"), *txn(b"t", "KV", ("P", 5, (b"late", b"x"))), *txn(b"t", "KV", ("C", 6))]
+    for cut in (0, 3, 4, 5):
+        feed = FeedTable(spark, work_folder(spark, "t").path)
+        for part in (log[:cut], log[cut:]):
+            feed.apply(spark.createDataFrame(part, LOG))
+        assert places(live_values(feed.read())) == {("n", "KV", K, ""): (4, 0)}
+    assert places(live_values(state.state(spark.createDataFrame(log, LOG)))) == {("n", "KV", K, ""): (4, 0)}
+
+
+def test_abandoned_transactions(spark):
+    feed = FeedTable(spark, work_folder(spark, "t").path)
+    feed.apply(spark.createDataFrame([*txn(b"t", "KV", ("B", 1), ("P", 2, (K, b"x"))), *txn(b"u", "KV", ("B", 3), ("P", 4, (b"u", b"y")))], LOG))
+    feed.abandon(spark.createDataFrame([("n", bytearray(b"t"))], "ns_name string, txn_id binary"))
+    feed.apply(spark.createDataFrame([*txn(b"t", "KV", ("P", 5, (K, b"z")), ("C", 6)), *txn(b"u", "KV", ("C", 7))], LOG))
+    assert places(live_values(feed.read())) == {("n", "KV", b"u", ""): (4, 0)}
+
+
+def test_the_loser_leaves_the_winners_table(spark):
+    path = work_folder(spark, "t").path
+    one, two = FeedTable(spark, path), FeedTable(spark, path)
+    commit = two.folder.commit_json
+
+    def second(name, value):
+        one.apply(spark.createDataFrame([kv(1, K, b"first")], LOG))
+        commit(name, value)
+
+    two.folder.commit_json = second
+    with pytest.raises(FileExistsError):
+        two.apply(spark.createDataFrame([kv(2, b"other", b"second")], LOG))
+    assert places(live_values(one.read())) == {("n", "KV", K, ""): (1, 0)}
+    one.vacuum()
+    assert places(live_values(one.read())) == {("n", "KV", K, ""): (1, 0)}
+
+
+def test_a_batch_reads_only_the_buckets_it_touches(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerfold.operators.parts import bucket_of
+
+    feed = FeedTable(spark, work_folder(spark, "t").path, buckets=64)
+    feed.apply(spark.createDataFrame([kv(i + 1, b"k%d" % i, b"v") for i in range(500)], LOG))
+    read, part = [], feed.read_part
+    feed.read_part = lambda name, folders, buckets=None: read.append((name, buckets)) or part(name, folders, buckets)
+    feed.apply(spark.createDataFrame([kv(1000, b"k7", b"w")], LOG))
+    (buckets,) = [b for n, b in read if n == "index"]
+    assert len(buckets) == 1
+    files = lambda df: {r.f for r in df.select(F.input_file_name().alias("f")).distinct().collect()}
+    now = feed.manifest()
+    assert len(files(part("index", now["index"][:1]))) > 50 and len(files(part("index", now["index"][:1], buckets))) == 1
+    own = spark.createDataFrame([("n", "KV", bytearray(b"k7"))], "ns_name string, entry_type string, entry_key binary")
+    assert own.select(bucket_of(["ns_name", "entry_type", "entry_key"], now)).first()[0] == buckets[0]
+    assert places(live_values(feed.read()))[("n", "KV", b"k7", "")] == (1000, 0)
+
+
 def test_feed_ignores_what_was_not_committed(spark):
     feed = FeedTable(spark, work_folder(spark, "t").path)
     feed.apply(spark.createDataFrame([kv(1, K, b"v")], LOG))

@@ -91,10 +91,10 @@ class FeedTable(PartStore):
         by_txn, by_key = bucket_of(TXN, before), bucket_of(KEY, before)
 
         # Transactions: entries wait until their commit is known; commits stay known for entries that come late.
-        touched_txns = self._transactions_of(log, before)
+        touched_txns = self._transactions_of(log, before) if before["done"] or before["waiting"] else []
         own = txn.commits(log).withColumn("bucket", by_txn)
         self.write_part(own, "done", name)
-        done = self.read_part("done", [*before["done"], name], touched_txns)
+        done = self.read_part("done", [*before["done"], name], touched_txns if before["done"] else None)
         done = done.groupBy(*TXN).agg(F.min(F.struct("commit_lsn", "commit_op")).alias("c")).select(*TXN, "c.*")
         waiting = txn.prepared(rows).withColumn("bucket", by_txn).unionByName(self.read_held("waiting", before, touched_txns))
         still = self.write_part(txn.uncommitted(waiting, done), "waiting", name, F.col("bucket"))

@@ -1,41 +1,49 @@
 """Held-out texts that stand in a corpus, word for word or with other numbers, names and units.
 
-Every text becomes a sequence of lower-cased words, maximal runs of ASCII letters and digits. Numbers, names, units and
-quantities are slots: in a template a placeholder of their kind stands for them. Stretches of WINDOW words of held-out
-texts and corpus are joined on the hash of their templates. The slots decide what a joined pair is: the same values make
-it a copy, which the words themselves then prove; other values that keep equal slots equal and unequal ones
-unequal make it the same question with other parameters.
-
-A corpus word that is no slot and that no held-out text has can't be in a joined stretch, so only unbroken runs of the
-other words are hashed, and only stretches whose hash a held-out text has leave the scan.
+Every text becomes a sequence of lower-cased words, maximal runs of ASCII letters and digits, and its template: numbers, names,
+units and quantities are slots, for which a typed placeholder stands. Stretches of WINDOW words of held-out texts and corpus are
+joined on the hash of their templates, and the slots decide what a joined pair is: the same values make it a copy; other
+values that keep equal slots equal and unequal ones unequal, over all that two texts have in common at one shift, make
+it the same question with other parameters.
+
+There are two readings of a text. The plain one decides each word by itself, so equal words always have equal templates: no
+copy is lost. The one by form looks at the text as it is written: a number with a decimal point or with commas before
+thousands is one slot, a capitalised word is a name, and a word behind a number is a unit unless it is a function word or stands
+in capitals. So no list of names is needed, and units needn't be listed. Other parameters are looked for in both readings.
+
+A stretch with fewer than LITERALS words that are no slots has no template to tell it from others, such as a row of numbers; it
+is keyed by its values too, so that it is found as a copy, and as nothing else.
+
+The held-out side is hashed by the same tasks, into a table. What is broadcast of it is a bitmap of its keys, of bounded
+size whatever the number of texts; the corpus is scanned once, and only stretches that pass the bitmap are joined with that table.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import bitmaps
+from ..session import BROADCAST_BYTES, staged, work_folder
 from .batches import small_batches
 
 WINDOW = 13
-#: Literal words that a stretch with other slot values must have: a row of numbers alone is no question.
-LITERALS = 7
-#: Held-out texts are joined in blocks of about this many bytes, each block in one pass over the corpus.
-BLOCK_BYTES = 1 << 20
-#: Corpus texts are read in pieces of this many bytes.
-PIECE = 1 << 20
-
-WORD = re.compile(rb"[a-z0-9]+")
+#: Words that are no slots, which a stretch must have to be found with other values in its slots.
+LITERALS = 4
+#: The bitmap of keys has from 2^MIN_BITS to 2^MAX_BITS bits: 32 MB at most. Beyond some ten million stretches more of the corpus passes it.
+MIN_BITS, MAX_BITS = 20, 28
+
+WORD = re.compile(rb"[A-Za-z0-9]+")
 #: A number with a decimal point or with commas before thousands; dotted and listed numbers, as in 1.2.3 and 1,2,3, are several.
 GROUPED = rb"(?:[0-9]{1,3}(?:,[0-9]{3}){1,9}(?:\.[0-9]+)?|[0-9]+\.[0-9]+)"
-DECIMAL = re.compile(GROUPED)
-#: The words of same_questions(): such numbers are one word, with what follows them.
-VALUE_WORD = re.compile(rb"(?<![0-9][.,])%s(?![0-9]|[.,][0-9])[a-z0-9]*|[a-z0-9]+" % GROUPED)
+#: The words of the reading by form: such numbers are one word, with what follows them.
+VALUE_WORD = re.compile(rb"(?<![0-9][.,])%s(?![0-9]|[.,][0-9])[A-Za-z0-9]*|[A-Za-z0-9]+" % GROUPED)
+#: A number with up to five letters directly behind it.
+QUANTITY = re.compile(rb"(?:%s|[0-9]+)[a-z]{1,5}" % GROUPED)
 
-#: Units of measure, fixed values.
+#: Units of measure, fixed values: words that are units wherever they stand.
 UNITS = """
 ns us ms s sec secs second seconds min mins minute minutes hour hours day days week weeks month months year years
 b kb mb gb tb kib mib gib byte bytes bit bits
@@ -44,239 +52,271 @@ mg g kg gram grams kilogram kilograms tonne tonnes ounce ounces pound pounds lit
 percent degree degrees volt volts watt watts hz khz mhz ghz px dollar dollars euro euros cent cents
 """.split()
 
-#: Given names that stand in exercise texts, fixed values.
-NAMES = """
-alice bob carol dave eve frank grace heidi ivan judy mallory oscar peggy trent victor walter
-adam anna ben charlie clara daniel david emily emma george hannah henry jack james jane john julia kate laura leo linda
-lisa lucy maria mark martin mary max mia michael nina noah olivia paul peter rachel robert sam sara sarah sofia susan
-thomas tim tom william
-""".split()
-
-
+#: Number words of English, fixed values.
+NUMBER_WORDS = """
+zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million
+""".split()
 
-def quantity(units: Iterable[str]) -> re.Pattern:
-    """A number with one of units directly behind it."""
-    return re.compile(rb"(?:%s|[0-9]+)(?:%s)" % (GROUPED, "|".join(map(re.escape, sorted(units, key=len, reverse=True))).encode()))
+#: Function words of English, fixed values: behind a number they are no unit.
+FUNCTION_WORDS = """
+a an the and or but nor so yet if then else when while as than that which who whose this these those it its he she they them his her their we you i
+of in on at by to from with for into onto over under per is are was were be been has have had do does did can could will would shall should may might must not no
+""".split()
 
+#: Codes of slots; the codes of literal words are hashes above them.
+NUMBER, QUANTITY_SLOT, UNIT, NAME, FIRST_LITERAL = 1, 2, 3, 4, 16
+KINDS = "?NQUA"
+#: What a word's form says.
+CAPITAL, MAY_BE_UNIT = 1, 2
 
-QUANTITY = quantity(UNITS)
+MULTIPLIER = 0x9E3779B97F4A7C15
+#: What sets keys of one reading, and of stretches keyed by value, apart from others.
+FORM_SALT, VALUE_SALT = 0xA5A5A5A5DEADBEEF, 0x5851F42D4C957F2D
 
-#: Template numbers: 0 breaks a stretch, the kinds of slots follow, and literal words come after them.
-BREAK, NUMBER, QUANTITY_SLOT, UNIT, NAME, FIRST_LITERAL = 0, 1, 2, 3, 4, 5
 
-MULTIPLIER = 0x9E3779B97F4A7C15
+NUMBERS = frozenset(w.encode() for w in NUMBER_WORDS)
 
 
-def slot_kind(word: bytes, names: frozenset[bytes], units: frozenset[bytes], quantities: re.Pattern = QUANTITY) -> int:
-    """The kind of slot a word fills by itself, whatever stands around it; BREAK if none."""
-    if word.isdigit():
+def slot_kind(word: bytes, names: frozenset[bytes], units: frozenset[bytes]) -> int:
+    """The kind of slot that a lower-case word fills by itself, whatever stands around it; 0 if none."""
+    if word.isdigit() or word in NUMBERS:
         return NUMBER
     if word in units:
         return UNIT
     if word in names:
         return NAME
     if word[0] < 0x3A:
-        return NUMBER if DECIMAL.fullmatch(word) else QUANTITY_SLOT if quantities.fullmatch(word) else BREAK
-    return BREAK
-
+        return NUMBER if not word.isalnum() and word.replace(b".", b"").replace(b",", b"").isdigit() else QUANTITY_SLOT if QUANTITY.fullmatch(word) else 0
+    return 0
 
-class Template:
-    """Words as numbers: code() gives each word a code, and arrays by code give its template and its exact number."""
 
-    LIMIT = 400_000
+class Coder(dict):
+    """Words as they are written to places in arrays: template has the code of a slot or of the literal word, exact the code of
+    the word itself, flags what its form says."""
 
-    def __init__(self, held_out: Iterable[bytes], names: Iterable[str] = NAMES, units: Iterable[str] = UNITS, word: re.Pattern = WORD):
-        names, units = ([x.lower() for x in xs] for xs in (names, units))
-        self.names, self.units, self.quantities = frozenset(x.encode() for x in names), frozenset(x.encode() for x in units), quantity(units)
-        vocabulary = sorted({w for text in held_out for w in word.findall(text.lower())})
-        self.template, self.exact, self.codes = [BREAK, NUMBER, QUANTITY_SLOT, UNIT, NAME], [0] * 5, {}
-        for w in vocabulary:
-            self.codes[w] = len(self.template)
-            self.exact.append(len(self.template))
-            self.template.append(slot_kind(w, self.names, self.units, self.quantities) or len(self.template))
-
-    def coder(self) -> dict:
-        """A dict from words to codes. Words outside the vocabulary have the code of their kind of slot."""
-        return _Coder(self)
+    LIMIT = 1 << 19
 
+    def __init__(self, names: Iterable[str], units: Iterable[str]):
+        import numpy as np
 
-class _Coder(dict):
-    def __init__(self, t: Template):
-        super().__init__(t.codes)
-        self.t, self.kept = t, len(t.codes) + t.LIMIT
+        super().__init__()
+        self.names, self.units = (frozenset(x.lower().encode() for x in xs) for xs in (names, units))
+        self.function_words = frozenset(w.encode() for w in FUNCTION_WORDS)
+        self.template, self.exact, self.flags = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint8)
 
     def __missing__(self, word: bytes) -> int:
-        kind = slot_kind(word, self.t.names, self.t.units, self.t.quantities)
-        if len(word) <= 32 and len(self) < self.kept:
-            self[word] = kind
-        return kind
-
-
-def hashes(numbers, window: int):
-    """The hash of each stretch of window numbers, as uint64."""
+        import numpy as np
+        import xxhash
+
+        at = len(self)
+        if at == len(self.template):
+            self.template, self.exact, self.flags = (np.concatenate((x, np.zeros_like(x))) for x in (self.template, self.exact, self.flags))
+        low = word.lower()
+        capital = 0x41 <= word[0] <= 0x5A and word[1:].islower() and word.isalpha()
+        self.flags[at] = CAPITAL * capital + MAY_BE_UNIT * (word.isalpha() and word == low and low not in self.function_words)
+        exact = max(xxhash.xxh64_intdigest(low), FIRST_LITERAL)
+        self.exact[at] = exact
+        self.template[at] = slot_kind(low, self.names, self.units) or exact
+        self[word] = at
+        return at
+
+    def forget(self) -> None:
+        """Between batches: words are worked out anew once there are too many."""
+        if len(self) > self.LIMIT:
+            self.clear()
+
+
+def hashes(codes, window: int):
+    """The hash of each stretch of window codes, as uint64."""
     import numpy as np
 
-    spread = (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(MULTIPLIER)
+    spread = (codes + np.uint64(1)) * np.uint64(MULTIPLIER)
     spread ^= spread >> np.uint64(29)
-    n = len(numbers) - window + 1
+    n = len(codes) - window + 1
     out = np.zeros(n, np.uint64)
     for k in range(window):
         out = out * np.uint64(0xD6E8FEB86659FD93) + spread[k : k + n]
     return out ^ (out >> np.uint64(32))
 
 
-def slot_pattern(codes_or_words: list, template: list[int]) -> int:
-    """A number for which slots of a stretch are equal to each other: equal patterns allow one to be renamed into the other."""
-    first: dict = {}
-    out = 0
-    for place, (value, kind) in enumerate(zip(codes_or_words, template)):
-        if kind < FIRST_LITERAL:
-            out = (out * 31 + first.setdefault(value, place) + 1) & 0x7FFFFFFFFFFFFFFF
-    return out
-
+def form_codes(places, coder: Coder):
+    """The template by form: as the words' own, but that capitalised words are names, and words behind numbers units."""
+    import numpy as np
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    codes, flags = coder.template[places].copy(), coder.flags[places]
+    codes[(flags & CAPITAL > 0) & (codes >= FIRST_LITERAL)] = NAME
+    behind = (codes[:-1] == NUMBER) & (codes[1:] >= FIRST_LITERAL) & (flags[1:] & MAY_BE_UNIT > 0)
+    codes[1:][behind] = UNIT
+    return codes
 
 
 class Stretches:
-    """The stretches of texts that held-out texts may have too."""
-
-    def __init__(self, template: Template, window: int, wanted: dict | None = None, exact: bool = True, literals: int = LITERALS):
+    """The stretches of texts: keys, places, words and kinds of slots. bits is a bitmap of wanted keys, of bits_log2 bits."""
+
+    def __init__(self, window: int, literals: int, forms: bool, places: bool, names: Iterable[str] = (), units: Iterable[str] = UNITS, bits=None, bits_log2: int = 0):
+        self.window, self.literals, self.forms, self.places = window, literals, forms, places
+        self.coder, self.bits, self.bits_log2 = Coder(names, units), bits, bits_log2
+
+    def of(self, texts: list[bytes | None]) -> Iterator[tuple[int, int, bool, int, bytes, str]]:
+        """(number of the text, key, by form, place, words, kinds) of each stretch that is wanted; each text's words are taken together
+        with the others' in one array, and no stretch reaches over the end of a text. Without places, equal stretches
+        of one text count once."""
+        for form in (False, True) if self.forms else (False,):
+            words, ends = [], []
+            for text in texts:
+                words += (VALUE_WORD if form else WORD).findall(text or b"")
+                ends.append(len(words))
+            yield from self._found(words, ends, form)
+        self.coder.forget()
+
+    def _found(self, words: list[bytes], ends: list[int], form: bool):
         import numpy as np
 
-        self.t, self.window, self.exact, self.literals = template, window, exact, literals
-        self.template, self.exact_number = np.array(template.template, np.int64), np.array(template.exact, np.int64)
-        self.coder = template.coder()
-        self.wanted = None if wanted is None else {k: np.array(sorted(v), np.uint64) for k, v in wanted.items()}
-
-    def pieces(self, data: bytes) -> Iterator[list[bytes]]:
-        """The words of a text, a piece at a time, each with the last words of the piece before."""
-        at, carry = 0, []
-        if not self.exact:
-            found = iter(VALUE_WORD.findall(data.lower())) if len(data) <= PIECE else (m[0] for m in VALUE_WORD.finditer(data.lower()))
-            while words := list(islice(found, PIECE // 2)):
-                yield carry + words
-                carry = (carry + words)[-(self.window - 1) :] if self.window > 1 else []
+        n, w = len(words), self.window
+        if n < w:
             return
-        while at < len(data):
-            end = min(len(data), at + PIECE)
-            while end < len(data) and WORD.match(data[end : end + 1].lower()):
-                end += 1
-            words = carry + WORD.findall(data[at:end].lower())
-            yield words
-            carry, at = words[-(self.window - 1) :] if self.window > 1 else [], end
-
-    def found(self, data: bytes) -> set[tuple[int, bytes]]:
-        """(key, words) of each stretch, words joined by spaces; only those wanted, if that was given."""
-        import numpy as np
-
-        out: set[tuple[int, bytes]] = set()
-        for words in self.pieces(data):
-            if len(words) < self.window:
-                continue
-            codes = np.fromiter(map(self.coder.__getitem__, words), np.int64, len(words))
-            template = self.template[codes]
-            gaps = np.concatenate(([0], np.cumsum(template == BREAK)))
-            whole = gaps[self.window :] == gaps[: -self.window]
-            if not whole.any():
-                continue
-            keys = hashes(template, self.window)
-            if self.wanted is not None:
-                whole &= np.isin(keys, self.wanted["templates"])
-            if self.exact:
-                numbers = self.exact_number[codes]
-                unknown = np.concatenate(([0], np.cumsum(numbers == 0)))
-                whole &= unknown[self.window :] == unknown[: -self.window]
-                if self.wanted is not None and whole.any():
-                    whole &= np.isin(hashes(numbers, self.window), self.wanted["copies"])
-            for i in np.flatnonzero(whole).tolist():
-                own = words[i : i + self.window]
-                key = int(keys[i])
-                if not self.exact:
-                    kinds = template[i : i + self.window].tolist()
-                    slots = sum(k < FIRST_LITERAL for k in kinds)
-                    if not slots or self.window - slots < self.literals:
-                        continue
-                    key ^= slot_pattern(own, kinds) * MULTIPLIER & 0xFFFFFFFFFFFFFFFF
-                out.add((signed(key), b" ".join(own)))
-        return out
-
-
-def _scan(docs: DataFrame, id_column: str, text_column: str, name: str, make) -> DataFrame:
-    """(name, key, words) for every stretch that the Stretches of make() find."""
-    kind = docs.schema[id_column].dataType.simpleString()
+        coder = self.coder
+        places = np.fromiter(map(coder.__getitem__, words), np.int64, n)
+        template = form_codes(places, coder) if form else coder.template[places]
+        text = np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
+        whole = text[: n - w + 1] == text[w - 1 :]
+        literal = np.concatenate(([0], np.cumsum(template >= FIRST_LITERAL)))
+        few = literal[w:] - literal[:-w] < self.literals
+        keys = hashes(template, w)
+        if few.any():
+            keys = np.where(few, hashes(coder.exact[places], w) ^ np.uint64(VALUE_SALT), keys)
+        if form:
+            keys ^= np.uint64(FORM_SALT)
+        if self.bits is not None:
+            at = keys & np.uint64((1 << self.bits_log2) - 1)
+            whole &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        starts, seen = [0, *ends], set()
+        for i in np.flatnonzero(whole).tolist():
+            own, t, key = b" ".join(words[i : i + w]).lower(), int(text[i]), int(keys[i])
+            if not self.places:
+                if (t, own) in seen:
+                    continue
+                seen.add((t, own))
+            kinds = "".join("L" if c >= FIRST_LITERAL else KINDS[c] for c in template[i : i + w].tolist())
+            yield t, key - (1 << 64) if key >> 63 else key, form, i - starts[t], own, kinds
+
+
+FOUND = "key bigint, form boolean, pos bigint, words string, kinds string"
+
+
+def scanned(rows: DataFrame, id_column: str, text_column: str, name: str, make, bitmap=None) -> DataFrame:
+    """(name, FOUND) for every stretch that the Stretches of make(bits) find; bitmap is a broadcast bitmap of keys."""
+    kind = rows.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        stretches = make()
+        stretches = make(None if bitmap is None else np.frombuffer(bitmap.value, np.uint8))
         for batch in batches:
-            rows, keys, words = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for key, own in stretches.found(text) if text else ():
-                    rows.append(i)
-                    keys.append(key)
-                    words.append(own.decode())
+            found = list(stretches.of(batch.column(1).to_pylist()))
+            t, key, form, pos, words, kinds = zip(*found) if found else [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(words, pa.string())], names=[name, "key", "words"]
-            )
-
-    texts = docs.select(id_column, F.col(text_column).cast("binary").alias("_text"))
-    return small_batches(texts).mapInArrow(run, f"`{name}` {kind}, key bigint, words string")
-
-
-def joined(docs: DataFrame, items: DataFrame, id_column: str, text_column: str, item_column: str, passage_column: str, window: int, exact: bool, literals: int, block_bytes: int, names: Iterable[str] = NAMES, units: Iterable[str] = UNITS) -> DataFrame:
-    """(id, item, key, doc_words, item_words): stretches of documents and held-out texts with equal templates, slots agreeing.
-
-    The held-out texts go through in blocks whose size is checked, so what a block broadcasts, its words, hashes and
-    stretches, is bounded whatever the size of the whole set; each block is one scan of the corpus, and no row is shuffled.
+                [
+                    batch.column(0).take(pa.array(t, pa.int64())), pa.array(key, pa.int64()), pa.array(form, pa.bool_()), pa.array(pos, pa.int64()),
+                    pa.array([w.decode() for w in words], pa.string()), pa.array(kinds, pa.string()),
+                ],
+                names=[name, "key", "form", "pos", "words", "kinds"],
+            )
+
+    texts = rows.select(id_column, F.col(text_column).cast("binary").alias("_text"))
+    return small_batches(texts).mapInArrow(run, f"`{name}` {kind}, {FOUND}")
+
+
+def key_bitmap(held: DataFrame, n_keys: int) -> tuple[object, int]:
+    """A broadcast bitmap in which the bits of the table's keys are set, and the logarithm of its size: some 64 bits for each key within
+    the bounds. It is built by an aggregation over pieces of 4 KB, so what comes to the driver is at most its size."""
+    log2 = max(MIN_BITS, min(MAX_BITS, (max(n_keys, 1) * 64 - 1).bit_length()))
+    place = F.col("key").bitwiseAND(F.lit((1 << log2) - 1).cast("bigint"))
+    pieces = held.groupBy(bitmaps.bucket(place).alias("b")).agg(F.bitmap_construct_agg(bitmaps.bit(place)).alias("bits"))
+    out = bytearray(1 << (log2 - 3))
+    for b, bits in pieces.toLocalIterator():
+        out[b * bitmaps.BYTES : (b + 1) * bitmaps.BYTES] = bits
+    return held.sparkSession.sparkContext.broadcast(bytes(out)), log2
+
+
+def joined(
+    docs: DataFrame, items: DataFrame, id_column: str, text_column: str, item_column: str, passage_column: str, window: int, literals: int,
+    forms: bool, names: Iterable[str], units: Iterable[str], broadcast_bytes: int,
+) -> tuple[DataFrame, DataFrame]:
+    """(doc, passage_no, form, shift, doc_words, item_words, kinds): stretches of documents and of held-out texts with equal
+    templates, and (passage_no, item), the items of each class of equal passages.
+
+    Null passages are left out. The join is proved by the literal words, so no hash can join what differs in them. shift is the
+    stretch's place in the document less that in the passage; without forms, places aren't kept, and a document's equal
+    stretches count once.
     """
-    import numpy as np
-
-    items = items.select(item_column, F.col(passage_column).cast("binary").alias("_passage")).where(F.col("_passage").isNotNull())
-    total = items.agg(F.sum(F.octet_length("_passage"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
-    word, names, units, out = WORD if exact else VALUE_WORD, list(names), list(units), None
-    for no in range(blocks):
-        own = items.where(F.pmod(F.xxhash64(item_column, "_passage"), F.lit(blocks)) == no)
-        template = Template((bytes(r[0]) for r in own.select("_passage").toLocalIterator()), names, units, word)
-        templates: set[int] = set()
-        copies: set[int] = set()
-        s = Stretches(template, window)
-        for (passage,) in own.select("_passage").toLocalIterator():
-            codes = np.array([s.coder[w] for w in word.findall(bytes(passage).lower())], np.int64)
-            if len(codes) >= window:
-                templates.update(hashes(s.template[codes], window).tolist())
-                copies.update(hashes(s.exact_number[codes], window).tolist())
-        wanted = {"templates": templates, "copies": copies}
-        make_all = lambda t=template: Stretches(t, window, None, exact, literals)
-        make_wanted = lambda t=template, w=wanted: Stretches(t, window, w, exact, literals)
-        held = _scan(own, item_column, "_passage", "item", make_all).select("item", "key", F.col("words").alias("item_words"))
-        here = _scan(docs, id_column, text_column, "doc", make_wanted).select("doc", "key", F.col("words").alias("doc_words"))
-        pairs = here.join(F.broadcast(held), "key")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.select(F.col("doc").alias(id_column), F.col("item").alias(item_column), "key", "doc_words", "item_words")
-
-
-def copies(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", passage_column: str = "passage", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, item), each pair once, of documents and held-out texts that share at least window consecutive words.
-
-    Null and empty texts, and passages of fewer words, share nothing. Texts are read whole, whatever their length.
+    spark, names, units = docs.sparkSession, list(names), list(units)
+    folder = work_folder(spark, "leak")
+    passages = items.select(F.col(item_column).alias("item"), F.col(passage_column).cast("binary").alias("passage")).where(F.col("passage").isNotNull())
+    members = passages.select(F.sha2("passage", 256).alias("passage_no"), "item").distinct()
+    classes = passages.groupBy(F.sha2("passage", 256).alias("passage_no")).agg(F.any_value("passage").alias("passage"))
+    make = lambda bits, log2=0: Stretches(window, literals, forms, forms, names, units, bits, log2)
+    held = staged(scanned(classes, "passage_no", "passage", "passage_no", make), folder, "held")
+    n, size = held.agg(F.count("*"), F.sum(F.octet_length("words") + 160)).first()
+    bitmap, log2 = key_bitmap(held, n)
+    here = scanned(docs, id_column, text_column, "doc", lambda bits: make(bits, log2), bitmap)
+    h = held.select(F.col("key").alias("h_key"), F.col("form").alias("h_form"), F.col("pos").alias("h_pos"), F.col("words").alias("item_words"), F.col("kinds").alias("h_kinds"), "passage_no")
+    if (size or 0) <= broadcast_bytes:
+        h = F.broadcast(h)
+    same = (F.col("key") == F.col("h_key")) & (F.col("form") == F.col("h_form")) & (F.col("kinds") == F.col("h_kinds"))
+    pairs = here.join(h, same).where(F.col("words").eqNullSafe(F.col("item_words")) | same_literals(F.col("words"), F.col("item_words"), F.col("kinds"), literals))
+    return pairs.select("doc", "passage_no", "form", (F.col("pos") - F.col("h_pos")).alias("shift"), F.col("words").alias("doc_words"), "item_words", "kinds"), members
+
+
+def zipped(words: Column, others: Column, kinds: Column) -> Column:
+    """The places of two stretches as an array of (d, h, k): word, other word, kind."""
+    return F.zip_with(F.arrays_zip(F.split(words, " ").alias("d"), F.split(others, " ").alias("h")), F.split(kinds, ""), lambda p, k: F.struct(p["d"].alias("d"), p["h"].alias("h"), k.alias("k")))
+
+
+def same_literals(words: Column, others: Column, kinds: Column, literals: int) -> Column:
+    """Whether two stretches with equal kinds agree in all words that are no slots, and have enough of these."""
+    enough = F.length(kinds) - F.length(F.replace(kinds, F.lit("L"), F.lit(""))) >= literals
+    return enough & F.forall(zipped(words, others, kinds), lambda p: (p["k"] != "L") | (p["d"] == p["h"]))
+
+
+def copies(
+    docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", passage_column: str = "passage", window: int = WINDOW, literals: int = LITERALS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """(id, item), each pair once, of documents and held-out texts that share at least window consecutive words: of the stretches
+    joined by their templates those whose slots have the same values.
+
+    Null and empty texts, and passages of fewer words, share nothing. Texts are read whole, whatever their length. A copy is
+    always found in the plain reading, so the other one isn't made.
     """
-    pairs = joined(docs, items, id_column, text_column, item_column, passage_column, window, True, 0, block_bytes)
-    return pairs.where(F.col("doc_words") == F.col("item_words")).select(id_column, item_column).distinct()
-
-
-def same_questions(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", passage_column: str = "passage", window: int = WINDOW, literals: int = LITERALS, block_bytes: int = BLOCK_BYTES, names: Iterable[str] = NAMES, units: Iterable[str] = UNITS) -> DataFrame:
-    """(id, item, n_changed, n_same): stretches of a document that are an item's with other numbers, names or units,
-    put in for the old ones consistently, and stretches with the same ones; pairs without a changed stretch don't appear.
-
-    Counted are distinct stretches of the document with at least one slot and at least literals words that are none. A
-    number with a decimal point or commas before thousands is one slot. names and units say which words are such slots.
+    pairs, members = joined(docs, items, id_column, text_column, item_column, passage_column, window, literals, False, (), UNITS, broadcast_bytes)
+    found = pairs.where(F.col("doc_words") == F.col("item_words")).select("doc", "passage_no").distinct()
+    return found.join(members, "passage_no").select(F.col("doc").alias(id_column), F.col("item").alias(item_column)).distinct()
+
+
+def same_questions(
+    docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", passage_column: str = "passage", window: int = WINDOW, literals: int = LITERALS,
+    names: Iterable[str] = (), units: Iterable[str] = UNITS, broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """(id, item, n_changed, n_same): how many stretches of a document are an item's with other numbers, names or units, put in for
+    the old ones consistently, and how many have the same ones; pairs without a changed stretch don't appear.
+
+    Stretches at one shift between the two texts belong together: a value that is renamed in two ways among them, or two that
+    become one, makes none of them count. Each pair is counted in the reading of the text, plain or by form, in which it has more
+    changed stretches. A stretch counts at each place where it stands. names are further words that are names wherever they
+    stand, as for texts in lower case; units are the words that are units anywhere.
     """
-    pairs = joined(docs, items, id_column, text_column, item_column, passage_column, window, False, literals, block_bytes, names, units)
-    agrees = F.col("doc_words") == F.col("item_words")
-    by_stretch = pairs.groupBy(id_column, item_column, "doc_words").agg(F.max(agrees).alias("same"))
-    out = by_stretch.groupBy(id_column, item_column).agg(F.count_if(~F.col("same")).alias("n_changed"), F.count_if("same").alias("n_same"))
-    return out.where("n_changed > 0")
+    pairs, members = joined(docs, items, id_column, text_column, item_column, passage_column, window, literals, True, names, units, broadcast_bytes)
+    slots = F.filter(zipped(F.col("doc_words"), F.col("item_words"), F.col("kinds")), lambda p: p["k"] != "L")
+    by = ["doc", "passage_no", "form"]
+    # by document, passage and shift there are at most as many stretches as the passage has; the tasks that scan combine them first
+    aligned = pairs.select(*by, "shift", slots.alias("s"), (F.col("doc_words") != F.col("item_words")).alias("changed")).groupBy(*by, "shift")
+    aligned = aligned.agg(F.array_distinct(F.flatten(F.collect_set("s"))).alias("s"), F.count_if("changed").alias("n_changed"), F.count_if(~F.col("changed")).alias("n_same"))
+    count = lambda *parts: F.size(F.array_distinct(F.transform("s", lambda p: F.struct(p["k"].alias("k"), *[p[x].alias(x) for x in parts]))))
+    consistent = aligned.where((count("d", "h") == count("d")) & (count("d", "h") == count("h")))
+    counted = consistent.groupBy(*by).agg(F.sum("n_changed").alias("n_changed"), F.sum("n_same").alias("n_same")).where("n_changed > 0")
+    best = counted.groupBy("doc", "passage_no").agg(F.max(F.struct("n_changed", "n_same")).alias("b"))
+    # equal passages of several items were one class
+    return best.join(members, "passage_no").select(F.col("doc").alias(id_column), F.col("item").alias(item_column), "b.n_changed", "b.n_same")

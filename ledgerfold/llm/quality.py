@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import BROADCAST_BYTES, staged, work_folder
 from .batches import small_batches
 
 CHUNK, SPREAD = 1 << 15, 1 << 17
@@ -175,6 +176,48 @@ def whole(data: bytes, words: Words) -> tuple[int, int, int, int, int, int]:
 COUNTS = ["n_chars", "n_symbols", "n_words", "n_common", "n_lines", "n_ended"]
 
 
+def counts_by_words(docs: DataFrame, common: DataFrame, id_column: str = "doc_id", text_column: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """counts() with the common words in the first column of a table, of any size; null and empty words are left out.
+
+    A list that may be broadcast goes to every task. A larger one is joined: each text gives its different words with how
+    often it has them, in one task per text, and those that the list has are added up by text.
+    """
+    words = common.select(F.col(common.columns[0]).alias("_word")).where("_word <> ''").distinct()
+    size = words.agg(F.sum(F.octet_length("_word") + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
+        return counts(docs, [r[0] for r in words.toLocalIterator()], id_column, text_column)
+    keyed = docs.select(F.monotonically_increasing_id().alias("_key"), F.col(id_column).alias("_id"), F.col(text_column).cast("binary").alias("_text"))
+    keyed = staged(keyed, work_folder(docs.sparkSession, "quality"), "texts")  # the numbers must stay as they are
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for key, text in zip(*[c.to_pylist() for c in batch.columns]):
+                found: dict[str, int] = {}
+                for word in words_of(text or b""):
+                    core = CORE.search(word.decode("utf-8", "replace").lower())
+                    if core is not None:
+                        found[core.group()] = found.get(core.group(), 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["_key", "_core", "_n"])
+
+    of_text = small_batches(keyed.select("_key", "_text")).mapInArrow(run, "_key bigint, _core string, _n bigint")
+    known = of_text.join(words, F.col("_core") == F.col("_word"), "left_semi").groupBy("_key").agg(F.sum("_n").alias("_common"))
+    rest = counts(keyed, [], "_key", "_text").drop("n_common").join(known, "_key", "left").join(keyed.select("_key", "_id"), "_key")
+    return rest.select(F.col("_id").alias(id_column), *[F.coalesce("_common", F.lit(0).cast("bigint")).alias(c) if c == "n_common" else F.col(c) for c in COUNTS])
+
+
+def words_of(data: bytes, piece: int = SPREAD) -> Iterator[bytes]:
+    """The words of a text, taken a piece at a time that ends at white space."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + piece)
+        while end < len(data) and data[end] not in SPACES:
+            end += 1
+        yield from data[at:end].translate(KEEP_WHOLE).split()
+        at = end
+
+
 def counts(docs: DataFrame, common: Iterable[str], id_column: str = "doc_id", text_column: str = "text", spread: int = SPREAD, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(id, COUNTS) for every row. Null, empty and blank texts have counts of 0; repeated rows and null ids stay as they are.
 
@@ -233,9 +276,9 @@ def counts(docs: DataFrame, common: Iterable[str], id_column: str = "doc_id", te
 
     small = small_batches(docs.where(size <= spread)).mapInArrow(here, out)
     keyed = docs.where(size > spread).select(F.monotonically_increasing_id().alias("_key"), id_column, "_text")
-    pieces = keyed.mapInArrow(cut, f"_key bigint, `{id_column}` {kind}, _no bigint, _piece binary").repartition("_key", "_no")
+    pieces = small_batches(keyed).mapInArrow(cut, f"_key bigint, `{id_column}` {kind}, _no bigint, _piece binary").repartition("_key", "_no")
     row = f"_key bigint, `{id_column}` {kind}, _no bigint, p struct<{PARTIAL.replace(' ', ':').replace(',:', ',')}>"
-    level0 = pieces.mapInArrow(count_pieces, row)
+    level0 = small_batches(pieces).mapInArrow(count_pieces, row)
     grouped = lambda df, no: df.groupBy("_key", id_column, no.alias("_g")).agg(F.collect_list(F.struct("_no", "p")).alias("ps"))
     level1 = grouped(level0, F.floor(F.col("_no") / fan)).mapInArrow(merge_groups(False), row)
     large = grouped(level1, F.lit(0).cast("bigint")).mapInArrow(merge_groups(True), out)

@@ -29,26 +29,18 @@ def p7_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.same_questions(documents(spark, sf_dir), eval_items(spark, sf_dir))
 
 
-#: Common words are a short list by nature; more than this are refused rather than sent to every task.
-MOST_COMMON_WORDS = 1_000_000
-
-
-def common_words(spark: SparkSession, sf_dir: str) -> list[str]:
-    words = spark.read.parquet(f"{sf_dir}/common_words.parquet").where("word IS NOT NULL").select("word").distinct()
-    found = [r[0] for r in words.limit(MOST_COMMON_WORDS + 1).collect()]
-    if len(found) > MOST_COMMON_WORDS:
-        raise ValueError(f"more than {MOST_COMMON_WORDS} common words")
-    return found
+def text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.counts_by_words(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/common_words.parquet").select("word"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.counts(documents(spark, sf_dir), common_words(spark, sf_dir)).where(quality.is_prose()).select("doc_id")
+    return text_counts(spark, sf_dir).where(quality.is_prose()).select("doc_id")
 
 
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and ratios of every document."""
     ratios = ["mean_word_length", "words_per_line", "symbol_ratio", "ended_ratio", "common_ratio"]
-    stats = quality.with_ratios(quality.counts(documents(spark, sf_dir), common_words(spark, sf_dir)))
+    stats = quality.with_ratios(text_counts(spark, sf_dir))
     return stats.select("doc_id", *quality.COUNTS, *[F.round(r, 6).alias(r) for r in ratios], quality.is_prose().alias("is_prose"))
 
 

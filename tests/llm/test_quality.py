@@ -96,3 +96,19 @@ def test_prose(spark):
     assert found.where("doc_id = 3").first().mean_word_length is None
     assert quality.counts(df.limit(0), COMMON).count() == 0
     assert quality.counts(df, []).agg({"n_common": "sum"}).first()[0] == 0
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_words_from_a_table(spark, broadcast_bytes):
+    """A list of common words that is broadcast, and one that is joined, give the same."""
+    texts = ["the end of a day", "", None, "(the) don't THE", "x " * 30 + "of", "the\nend.\n", "the end of a day"]
+    docs = spark.createDataFrame([(None if i == 3 else i % 6, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    words = spark.createDataFrame([(w, 1) for w in [*COMMON, None, "", "the"]], "word string, rank_no bigint")
+    got = [tuple(r) for r in quality.counts_by_words(docs, words, broadcast_bytes=broadcast_bytes).collect()]
+    assert sorted(got, key=str) == sorted([(None if i == 3 else i % 6, *brute(t)) for i, t in enumerate(texts)], key=str)
+    assert quality.counts_by_words(docs.limit(0), words, broadcast_bytes=broadcast_bytes).count() == 0
+
+
+def test_words_of_long_texts():
+    text = (b"ab cd\x0bef " * 5000)[:-1]
+    assert list(quality.words_of(text, 7)) == list(quality.words_of(text)) == text.translate(quality.KEEP_WHOLE).split()

@@ -186,7 +186,7 @@ def counts_by_words(docs: DataFrame, common: DataFrame, id_column: str = "doc_id
     size = words.agg(F.sum(F.octet_length("_word") + 64)).first()[0] or 0
     if size <= broadcast_bytes:
         return counts(docs, [r[0] for r in words.toLocalIterator()], id_column, text_column)
-    keyed = docs.select(F.monotonically_increasing_id().alias("_key"), F.col(id_column).alias("_id"), F.col(text_column).cast("binary").alias("_text"))
+    keyed = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).alias("_id"), F.col(text_column).cast("binary").alias("_text"))
     keyed = staged(keyed, work_folder(docs.sparkSession, "quality"), "texts")  # the numbers must stay as they are
 
     def run(batches: Iterator) -> Iterator:
@@ -199,11 +199,11 @@ def counts_by_words(docs: DataFrame, common: DataFrame, id_column: str = "doc_id
                     core = CORE.search(word.decode("utf-8", "replace").lower())
                     if core is not None:
                         found[core.group()] = found.get(core.group(), 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["_key", "_core", "_n"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["_row", "_core", "_n"])
 
-    of_text = small_batches(keyed.select("_key", "_text")).mapInArrow(run, "_key bigint, _core string, _n bigint")
-    known = of_text.join(words, F.col("_core") == F.col("_word"), "left_semi").groupBy("_key").agg(F.sum("_n").alias("_common"))
-    rest = counts(keyed, [], "_key", "_text").drop("n_common").join(known, "_key", "left").join(keyed.select("_key", "_id"), "_key")
+    of_text = small_batches(keyed.select("_row", "_text")).mapInArrow(run, "_row bigint, _core string, _n bigint")
+    known = of_text.join(words, F.col("_core") == F.col("_word"), "left_semi").groupBy("_row").agg(F.sum("_n").alias("_common"))
+    rest = counts(keyed, [], "_row", "_text").drop("n_common").join(known, "_row", "left").join(keyed.select("_row", "_id"), "_row")
     return rest.select(F.col("_id").alias(id_column), *[F.coalesce("_common", F.lit(0).cast("bigint")).alias(c) if c == "n_common" else F.col(c) for c in COUNTS])
 
 

@@ -69,3 +69,41 @@ def decode_position(data: Column) -> Column:
     """(segment_id, seg_offset) of a position's bytes; null if there are fewer than 12."""
     part = lambda at, n: from_big_endian(reversed_bytes(F.substring(data, at, n), n))
     return F.when(F.octet_length(data) >= 12, F.struct(part(1, 4).alias("segment_id"), part(5, 8).alias("seg_offset")))
+
+
+# ---- keys as a store's driver makes them: what is typed already stays ----
+
+
+def starts_with(key: Column, byte: str) -> Column:
+    return F.substring(key, 1, 1) == F.unhex(F.lit(byte))
+
+
+def stored_row_key(row: Column) -> Column:
+    return F.when(starts_with(row, "FD"), row).otherwise(row_key(row))
+
+
+def stored_cell_key(row: Column, column: Column) -> Column:
+    return F.concat(stored_row_key(row), column.cast("binary"))
+
+
+def stored_chunk_key(key: Column, chunk: Column) -> Column:
+    """The first chunk of a key that is typed already keeps it."""
+    return F.when(starts_with(key, "FF") & (chunk == 0), key).otherwise(chunk_key(key, chunk))
+
+
+# ---- checkpoints ----
+
+
+def encode_checkpoint(records: Column, segment: Column, offset: Column, index: Column, term: Column) -> Column:
+    """36 bytes, the lowest first in each number: records processed, position, index and term of the consensus. A null position is all zeros."""
+    number = lambda c: reversed_bytes(big_endian(c, 8), 8)
+    return F.concat(number(records), F.coalesce(encode_position(segment, offset), F.unhex(F.lit("00" * 12))), number(index), number(term))
+
+
+def decode_checkpoint(data: Column) -> Column:
+    """(records, segment_id, seg_offset, raft_index, raft_term); of 20 bytes the last two are 0, of fewer all."""
+    number = lambda at: from_big_endian(reversed_bytes(F.substring(data, at, 8), 8))
+    p = decode_position(F.substring(data, 9, 12))
+    has, long, zero = F.octet_length(data) >= 20, F.octet_length(data) >= 36, F.lit(0).cast("bigint")
+    parts = {"records": (has, number(1)), "segment_id": (has, p["segment_id"]), "seg_offset": (has, p["seg_offset"]), "raft_index": (long, number(21)), "raft_term": (long, number(29))}
+    return F.struct(*[F.when(there, value).otherwise(zero).alias(name) for name, (there, value) in parts.items()])

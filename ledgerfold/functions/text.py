@@ -12,7 +12,7 @@ OPERATIONS = {"Insert": "put", "Delete": "delete", "DeleteRowByKey": "delete_row
 ENTRY_TYPES = {"KV": "kv", "Chunked": "lob", "Row": "row"}
 
 
-def lookup(value: Column, names: dict[str, str], default: Column | None = None) -> Column:
+def lookup(value: Column, names: dict, default: Column | None = None) -> Column:
     out = None
     for k, v in names.items():
         out = F.when(value == k, v) if out is None else out.when(value == k, v)
@@ -71,7 +71,7 @@ def chunk_label(number: Column, count: Column) -> Column:
 
 def safe_time(nanos: Column) -> Column:
     """A time from nanoseconds; null for zero and negative ones; 64 bits end before the year 9999."""
-    return F.when((nanos > 0) & (nanos < F.lit((1 << 63) - 1)), F.timestamp_micros(F.floor(nanos / 1000)))
+    return F.when((nanos > 0) & (nanos < F.lit((1 << 63) - 1)), F.timestamp_micros(F.call_function("div", nanos, F.lit(1000))))
 
 
 def varint_size(value: Column) -> Column:
@@ -127,3 +127,92 @@ def joined_path(*parts: Column) -> Column:
     """Parts joined by single slashes; empty parts are left out."""
     kept = F.filter(F.array(*[F.regexp_replace(p, "(?<=.)/+$", "") for p in parts]), lambda x: x != "")
     return F.regexp_replace(F.concat_ws("/", kept), "//+", "/")
+
+
+def with_commas(number: Column) -> Column:
+    """A whole number with commas before thousands."""
+    return F.format_number(number, 0)
+
+
+def time_text(at: Column) -> Column:
+    """A UTC time as RFC 3339 to the second; a dash for none."""
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("-"))
+
+
+def decimals(value: Column, digits: int) -> Column:
+    """A number with at most so many decimals and no zeros at the end; 0 for 0."""
+    rounded = F.format_string(f"%.{digits}f", F.round(value, digits))
+    return F.when(value == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(rounded, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))
+
+
+def position_text(segment: Column, offset: Column) -> Column:
+    return F.concat(F.lit("SegmentID="), segment.cast("string"), F.lit(", Offset="), offset.cast("string"))
+
+
+def is_zero_position(segment: Column, offset: Column) -> Column:
+    return (segment == 0) & (offset == 0)
+
+
+def numbered_key(prefix: Column, worker: Column, counter: Column) -> Column:
+    """prefix-worker-counter."""
+    return F.concat_ws("-", prefix, worker.cast("string"), counter.cast("string"))
+
+
+def positive_sizes(text: Column) -> Column:
+    """The sizes of a comma-separated list; null where one isn't a positive whole number or there is none."""
+    parts = split_list(text)
+    sizes = F.transform(parts, lambda x: F.when(x.rlike("^[+]?[0-9]{1,18}$"), x.try_cast("bigint")))
+    good = (F.size(parts) > 0) & F.forall(sizes, lambda x: F.coalesce(x > 0, F.lit(False)))
+    return F.when(good, sizes)
+
+
+def package_of(path: Column) -> Column:
+    """The name of the folder that a file stands in, without a dot before it; unknown for none."""
+    name = F.regexp_extract(path, r"([^/]+)/+[^/]*$", 1)
+    return F.when((name == "") | (name == "."), "unknown").otherwise(F.regexp_replace(name, r"^\.", ""))
+
+
+#: Log levels and other spellings of them, fixed values.
+LEVELS = {"debug": "DEBUG", "info": "INFO", "warn": "WARN", "warning": "WARN", "error": "ERROR", "": "INFO"}
+
+
+def log_level(text: Column) -> Column:
+    """The level that a text names, in any case; an empty one is INFO; null for others."""
+    return lookup(F.lower(F.trim(text)), LEVELS)
+
+
+#: Status codes of a stream's errors, fixed values; others are internal errors, which don't tell what happened.
+STATUS_OF = {
+    "LSN not yet available": "Unavailable",
+    "LSN truncated": "OutOfRange",
+    "missing required parameter: namespace": "InvalidArgument",
+    "namespace is not found on the current server": "NotFound",
+    "bad metadata in request": "InvalidArgument",
+    "missing required metadata: x-namespace": "InvalidArgument",
+    "stream timeout: no records received within dynamic threshold seconds": "Unavailable",
+    "invalid sequence: StartMarker must be sent before sending chunks or calling CommitMarker": "FailedPrecondition",
+    "invalid checksum: checksum mismatch": "DataLoss",
+    "put chunk stream already commited": "Aborted",
+}
+
+#: HTTP statuses of the errors of writes and reads, by what went wrong; fixed values. Others give 500.
+HTTP_STATUS_OF = {"committed": 409, "not_found": 404, "read_only": 403, "unsupported_type": 400, "no_columns": 400, "key_changed": 400, "aborted": 410}
+
+
+def error_status(message: Column) -> Column:
+    """(code, message) that a caller is told of an error."""
+    code = lookup(message, STATUS_OF)
+    return F.struct(F.coalesce(code, F.lit("Internal")).alias("code"), F.when(code.isNotNull(), message).otherwise("internal server error").alias("message"))
+
+
+def http_status(problem: Column) -> Column:
+    return lookup(problem, {k: v for k, v in HTTP_STATUS_OF.items()}, F.lit(500))
+
+
+def duration_text(seconds: Column) -> Column:
+    """A duration as days, hours, minutes and seconds, from the largest that isn't 0; under a minute with up to four digits."""
+    whole = F.floor(F.abs(seconds)).cast("bigint")
+    d, h, m, s = F.floor(whole / 86400), F.floor(whole / 3600) % 24, F.floor(whole / 60) % 60, whole % 60
+    part = lambda number, unit: F.concat(number.cast("bigint").cast("string"), F.lit(unit))
+    long = F.when(d > 0, F.concat_ws(" ", part(d, "d"), part(h, "h"), part(m, "m"), part(s, "s"))).when(h > 0, F.concat_ws(" ", part(h, "h"), part(m, "m"), part(s, "s"))).otherwise(F.concat_ws(" ", part(m, "m"), part(s, "s")))
+    return F.concat(F.when(seconds < 0, "-").otherwise(""), F.when(whole >= 60, long).otherwise(F.concat(decimals(F.abs(seconds), 3), F.lit("s"))))

@@ -160,6 +160,12 @@ class FeedTable(PartStore):
 
     # ---- reading ----
 
+    def changes(self, epoch: int) -> DataFrame:
+        """(ns_name, entry_type, entry_key, operation_type, commit_lsn, lsn, entry_no): the entries that an epoch made effective, each once."""
+        folders = [f for f in self.manifest()["data"] if epoch_of(f) == epoch]
+        removed = F.when(F.col("kind") == "put", txn.INSERT).when((F.col("kind") == "bar") & (F.col("entry_type") == txn.ROW), txn.DELETE_ROW).otherwise(txn.DELETE)
+        return self.read_part("data", folders).select(*KEY, removed.alias("operation_type"), *txn.ORDER).distinct()
+
     def vectors(self) -> DataFrame:
         """(file_no, bucket, bits): the delete vectors of all epochs, united."""
         return self.read_part("vectors", self.manifest()["vectors"]).groupBy("file_no", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))

@@ -16,11 +16,36 @@ def op_counts(rows: DataFrame, by: list[str], failed: Column | None = None) -> D
     return rows.groupBy(*by).agg(F.count("*").alias("n_ops"), F.count_if(F.lit(False) if failed is None else failed).alias("n_errors"))
 
 
+#: Into how many ranges of values a group is cut for exact quantiles.
+RANGES = 1024
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float], exact: bool = True) -> DataFrame:
-    """(by, n, and a column for each quantile). exact keeps the distinct values of a group in memory; for unbounded
-    domains at scale pass exact=False, which sketches with relative rank error 1/10000."""
-    make = (lambda q: F.percentile(value, F.lit(q))) if exact else (lambda q: F.percentile_approx(value, q, 10_000))
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), *[make(q).alias(name) for name, q in at.items()])
+    """(by, n, and a column for each quantile), interpolated between neighbours; groups without a value have null ones.
+
+    exact counts rows by value, adds the counts up in order over ranges of values, and picks those at the ranks, so a group is never
+    held by one task, whatever its values. exact=False sketches instead, with relative rank error 1/10000.
+    """
+    if not exact:
+        return rows.groupBy(*by).agg(F.count(value).alias("n"), *[F.percentile_approx(value, q, 10_000).alias(name) for name, q in at.items()])
+    if not by:
+        return quantiles(rows.withColumn("_all", F.lit(0)), ["_all"], value, at).drop("_all")
+    names = nulls.names(by)
+    own = rows.select(*nulls.split(rows, by), F.col(value).cast("double").alias("_v"))
+    totals = own.groupBy(*names).agg(F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    counts = own.where("_v IS NOT NULL").groupBy(*names, "_v").agg(F.count("*").alias("_c")).join(totals, names)
+    width = F.col("_hi") - F.col("_lo")
+    block = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * RANGES)).otherwise(0)
+    # the number of rows before a value is the rank of its first row, and that with its own less one that of its last
+    ranked = skew.running(counts, names, block, ["_v"], F.col("_c"), "_before")
+    picks = []
+    for name, q in at.items():
+        rank = (F.col("n") - 1) * F.lit(float(q))
+        has = lambda r: (F.col("_before") <= r) & (r < F.col("_before") + F.col("_c"))
+        low, high = F.max(F.when(has(F.floor(rank)), F.col("_v"))), F.max(F.when(has(F.ceil(rank)), F.col("_v")))
+        picks.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
+    found = ranked.groupBy(*names).agg(*picks)
+    return totals.join(found, names, "left").select(*nulls.joined(by), "n", *at)
 
 
 def rates(rows: DataFrame, ts: str, width: str, by: list[str]) -> DataFrame:
@@ -58,10 +83,29 @@ def share(rows: DataFrame, part: str, columns: list[str]) -> DataFrame:
     return rows.agg((F.sum(part) / F.nullif(whole, F.lit(0)) * 100).alias("percent"))
 
 
+#: Rows of one key are put in order in stretches of this many times the gap.
+GAPS = 1000
+
+
 def sessions(rows: DataFrame, by: list[str], ts: str, gap: str) -> DataFrame:
-    """(by, started_at, ended_at, n): runs of rows without a pause of gap or longer. Rows without ts belong to none."""
-    found = rows.where(F.col(ts).isNotNull()).groupBy(*by, F.session_window(F.col(ts), gap).alias("w"))
-    return found.agg(F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"), F.count("*").alias("n")).drop("w")
+    """(by, started_at, ended_at, n): runs of rows without a pause of gap or longer. Rows without ts belong to none.
+
+    Each key is cut into stretches of time; pauses are found inside them and between the last and first row of neighbours, and the
+    runs are numbered by running sums over the stretches, so that a key with most rows is no hot spot.
+    """
+    names = nulls.names(by)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    length = F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp") + F.expr(f"INTERVAL {gap}")) - F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp"))
+    own = rows.where(F.col(ts).isNotNull()).select(*nulls.split(rows, by), F.col(ts).alias("_at"), us.alias("_us"), length.alias("_gap"))
+    # rows of one instant belong together and count as one here
+    own = own.groupBy(*names, "_at", "_us", "_gap").agg(F.count("*").alias("_rows")).withColumn("_s", F.floor(F.col("_us") / (F.col("_gap") * GAPS)))
+    ends = own.groupBy(*names, "_s").agg(F.max("_us").alias("_last")).select(*names, "_s", F.lag("_last").over(W.partitionBy(*names).orderBy("_s")).alias("_end"))
+    before = F.coalesce(F.lag("_us").over(W.partitionBy(*names, "_s").orderBy("_us")), F.col("_end"))
+    starts = F.when(before.isNull() | (F.col("_us") - before >= F.col("_gap")), 1).otherwise(0)
+    marked = own.join(ends, [*names, "_s"]).withColumn("_start", starts)
+    numbered = skew.running(marked, names, F.col("_s"), ["_us"], F.col("_start"), "_before").withColumn("_no", F.col("_before") + F.col("_start"))
+    found = numbered.groupBy(*names, "_no").agg(F.min("_at").alias("started_at"), F.max("_at").alias("ended_at"), F.sum("_rows").alias("n"))
+    return found.select(*nulls.joined(by), "started_at", "ended_at", "n")
 
 
 def batches(records: DataFrame, stream: str, block: Column, order: list[str], size: Column, limit: int) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text
 from . import segments
@@ -90,3 +93,49 @@ def relayed(batches: DataFrame) -> DataFrame:
     flat = batches.select("consumer_id", "ns_name", "batch_id", F.explode("records.lsn").alias("lsn")).distinct()
     out = flat.groupBy("consumer_id", "ns_name", "batch_id").agg(F.count("*").alias("n"), F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"))
     return out.withColumn("is_contiguous", F.col("last_lsn") - F.col("first_lsn") + 1 == F.col("n"))
+
+
+#: Batches of a stream are followed in blocks of this many numbers.
+BATCHES = 4096
+
+
+def relay_checks(batches: DataFrame) -> DataFrame:
+    """(consumer_id, ns_name, batch_id, n, first_lsn, last_lsn, prev_lsn, n_breaks, delay_ms): each batch as it came, in the order of its records:
+    how many of them don't follow the record before by one, the first being compared with the last of the batch before; and the
+    milliseconds from when any consumer was first sent a batch that ends with the same lsn of the namespace until this one was sent. Records without
+    an lsn are left out; batches without any don't appear. prev_lsn is null for a consumer's first batch.
+
+    Only one row for each batch is ordered, in blocks of batch_id, whose ends are compared in a second step.
+    """
+    lsns = F.filter(F.transform("records", lambda r: r["lsn"]), lambda x: x.isNotNull())
+    own = batches.select("consumer_id", "ns_name", "batch_id", "server_ts", lsns.alias("l")).where(F.size("l") > 0)
+    inner = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.get("l", i) != F.get("l", i - 1) + 1), lambda x: x))
+    flat = own.select(
+        "consumer_id", "ns_name", "batch_id", "server_ts", F.size("l").cast("bigint").alias("n"), F.get("l", F.lit(0)).alias("first_lsn"), F.element_at("l", -1).alias("last_lsn"),
+        F.when(F.size("l") > 1, inner).otherwise(0).cast("bigint").alias("n_inner"), F.floor(F.col("batch_id") / BATCHES).alias("_block"),
+    )
+    who = ["consumer_id", "ns_name"]
+    inside = W.partitionBy(*who, "_block").orderBy("batch_id")
+    ends = flat.groupBy(*who, "_block").agg(F.max_by("last_lsn", "batch_id").alias("_end"))
+    ends = ends.select(*[F.col(c).alias(f"e_{c}") for c in who], F.col("_block").alias("e_block"), F.lag("_end").over(W.partitionBy(*who).orderBy("_block")).alias("_before"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in who)) & (F.col("_block") == F.col("e_block"))
+    out = flat.withColumn("_lag", F.lag("last_lsn").over(inside)).join(ends, same).withColumn("prev_lsn", F.coalesce("_lag", "_before"))
+    breaks = F.col("n_inner") + F.when(F.col("first_lsn") != F.col("prev_lsn") + 1, 1).otherwise(0)
+    first_sent = flat.groupBy(F.col("ns_name").alias("f_ns"), F.col("last_lsn").alias("f_lsn")).agg(F.min("server_ts").alias("_first"))
+    out = out.join(first_sent, F.col("ns_name").eqNullSafe(F.col("f_ns")) & (F.col("last_lsn") == F.col("f_lsn")))
+    delay = ((F.unix_micros(F.col("server_ts").cast("timestamp")) - F.unix_micros(F.col("_first").cast("timestamp"))) / 1000).cast("bigint")
+    return out.select(*who, "batch_id", "n", "first_lsn", "last_lsn", "prev_lsn", breaks.alias("n_breaks"), delay.alias("delay_ms"))
+
+
+def position_checks(received: DataFrame, log: DataFrame) -> DataFrame:
+    """received (ns_name, lsn, segment_id, seg_offset) with status: same where the follower's own log has the record at that position,
+    elsewhere where it has it at another, absent where it hasn't got it. Null positions are elsewhere."""
+    own = segments.positions(log).select(F.col("ns_name").alias("_ns"), F.col("lsn").alias("_lsn"), F.col("segment_id").alias("_seg"), F.col("seg_offset").alias("_off"), F.lit(True).alias("_has"))
+    joined = received.join(own, F.col("ns_name").eqNullSafe(F.col("_ns")) & (F.col("lsn") == F.col("_lsn")), "left")
+    same = F.coalesce((F.col("segment_id") == F.col("_seg")) & (F.col("seg_offset") == F.col("_off")), F.lit(False))
+    return joined.select(*received.columns, F.when(F.col("_has").isNull(), "absent").when(same, "same").otherwise("elsewhere").alias("status"))
+
+
+def cluster_stats(servers: DataFrame, is_voter: Column, is_leader: Column) -> DataFrame:
+    """(n_servers, n_voters, n_leaders) of a cluster's servers."""
+    return servers.agg(F.count("*").alias("n_servers"), F.count_if(is_voter).alias("n_voters"), F.count_if(is_leader).alias("n_leaders"))

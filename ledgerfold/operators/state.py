@@ -80,14 +80,25 @@ def chunks(values: DataFrame) -> DataFrame:
 
 
 def objects(values: DataFrame) -> DataFrame:
-    """(ns_name, entry_key, n_chunks, data): large objects in one piece, for objects that fit a row."""
+    """(ns_name, entry_key, n_chunks, data): large objects in one piece, for objects that fit a row; chunks() is for any size."""
     found = values.where(F.col("entry_type") == txn.CHUNKED)
     parts = found.groupBy("ns_name", "entry_key").agg(F.array_sort(F.collect_list(F.struct(*txn.ORDER, "value"))).alias("c"))
-    empty = F.unhex(F.lit(""))
-    data = F.aggregate("c", empty, lambda a, x: F.concat(a, F.coalesce(x["value"], empty)))
+    # joined as digits at once; one concatenation after the other would copy the object for each chunk
+    data = F.unhex(F.array_join(F.transform("c", lambda x: F.coalesce(F.hex(x["value"]), F.lit(""))), ""))
     return parts.select("ns_name", "entry_key", F.size("c").alias("n_chunks"), data.alias("data"))
 
 
+def object_checks(log: DataFrame) -> DataFrame:
+    """(ns_name, entry_key, n_chunks, n_expected, is_complete): each live large object, whether all chunks are there that its
+    transaction prepared, and its transaction's chain of records has no hole."""
+    done = txn.commits(log)
+    sent = txn.visible(txn.prepared(txn.entries(log)).where(F.col("entry_type") == txn.CHUNKED), done).select("ns_name", "txn_id", "commit_lsn", "lsn", "entry_no").distinct()
+    of_txn = sent.groupBy("ns_name", "txn_id", "commit_lsn").agg(F.count("*").alias("n_expected")).join(txn.chains(log).select("ns_name", "txn_id", "is_complete"), ["ns_name", "txn_id"])
+    live = state(log).where(F.col("entry_type") == txn.CHUNKED).groupBy("ns_name", "entry_key", "commit_lsn").agg(F.count("*").alias("n_chunks"))
+    both = live.join(of_txn, ["ns_name", "commit_lsn"])
+    return both.select("ns_name", "entry_key", "n_chunks", "n_expected", (F.col("is_complete") & (F.col("n_chunks") == F.col("n_expected"))).alias("is_complete"))
+
+
 def events(log: DataFrame) -> DataFrame:
     """Entries of type Event, which change no state; repeats of a record count once."""
     found = txn.entries(log.where(F.col("entry_type") == txn.EVENT))

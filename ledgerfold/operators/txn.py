@@ -46,11 +46,10 @@ def entries(log: DataFrame, *keep: str) -> DataFrame:
 
 
 def plain(rows: DataFrame) -> DataFrame:
-    """Entries outside a transaction that change state. Chunked entries only count in a transaction."""
+    """Entries outside a transaction that change state. Chunks are only written in a transaction; an object can be deleted without one."""
+    changes = F.col("entry_type").isin(KV, ROW) & F.col("operation_type").isin(INSERT, DELETE, DELETE_ROW)
     return rows.where(
-        (F.col("txn_state") == NONE)
-        & F.col("entry_type").isin(KV, ROW)
-        & F.col("operation_type").isin(INSERT, DELETE, DELETE_ROW)
+        (F.col("txn_state") == NONE) & (changes | ((F.col("entry_type") == CHUNKED) & (F.col("operation_type") == DELETE)))
     ).withColumn("commit_lsn", F.col("lsn"))
 
 
@@ -91,7 +90,7 @@ def units(rows: DataFrame) -> DataFrame:
 
     kind: put, del, or bar for a barrier, which ends everything of the key before it. part names the cell of a
     row, or the chunk of a large object; it is '' otherwise. Each chunk of a large object comes with the barrier
-    at its commit, since a commit replaces the whole object. Entries without a key, and row
+    at its commit, since a commit replaces the whole object; a delete of a large object is a barrier. Entries without a key, and row
     inserts without cells, change nothing.
     """
     is_row, removes = F.col("entry_type") == ROW, F.col("operation_type") == DELETE
@@ -99,8 +98,9 @@ def units(rows: DataFrame) -> DataFrame:
     kind = F.when(removes, "del").otherwise("put")
     unit = lambda part, value, kind: F.struct(part.alias("part"), value.alias("value"), kind.alias("kind"))
     cells = F.transform(F.map_entries("cells"), lambda c: unit(c["key"], c["value"], kind))
-    part = F.when(F.col("entry_type") == CHUNKED, F.concat_ws("/", "lsn", "entry_no")).otherwise("")
-    whole = F.array(unit(part, F.col("entry_value"), F.when(is_row, "bar").otherwise(kind)))
+    is_object = F.col("entry_type") == CHUNKED
+    part = F.when(is_object & ~removes, F.concat_ws("/", "lsn", "entry_no")).otherwise("")
+    whole = F.array(unit(part, F.col("entry_value"), F.when(is_row | (is_object & removes), "bar").otherwise(kind)))
     # one pass over the entries: what an entry changes is an array, of its cells or of itself
     changes = F.when(is_row & (F.col("operation_type") != DELETE_ROW), cells).otherwise(whole)
     keyed = rows.where(F.col("entry_key").isNotNull() & fits)
@@ -117,3 +117,22 @@ def barriers(changes: DataFrame) -> DataFrame:
         F.when(chunk, F.lit(-1).cast("bigint")).otherwise(F.col("entry_no")).alias("entry_no"),
     )
     return changes.where((F.col("kind") == "bar") | chunk).groupBy("ns_name", "entry_type", "entry_key").agg(F.max(at).alias("bar"))
+
+
+def chains(log: DataFrame) -> DataFrame:
+    """(ns_name, txn_id, entry_type, n_prepared, n_missing, is_complete): each committed transaction, with how many of its records name a
+    record before them that the log doesn't hold, by the position that each has of the one before. A chain goes from the commit
+    back to the begin; a record whose position is null, other than the begin, breaks it too. Repeats count once.
+    """
+    from ..functions import keys
+
+    own = log.where(F.col("txn_id").isNotNull()).groupBy("ns_name", "txn_id", "lsn").agg(*[F.any_value(c).alias(c) for c in ("txn_state", "entry_type", "segment_id", "seg_offset", "prev_txn_wal_index")])
+    at = keys.decode_position(F.col("prev_txn_wal_index"))
+    named = own.where(F.col("txn_state") != BEGIN).select("ns_name", "txn_id", "txn_state", "entry_type", at["segment_id"].alias("segment_id"), at["seg_offset"].alias("seg_offset"))
+    held = own.select(*[F.col(c).alias(f"h_{c}") for c in ("ns_name", "txn_id", "segment_id", "seg_offset")])
+    same = F.col("ns_name").eqNullSafe(F.col("h_ns_name")) & (F.col("txn_id") == F.col("h_txn_id")) & (F.col("segment_id") == F.col("h_segment_id")) & (F.col("seg_offset") == F.col("h_seg_offset"))
+    found = named.join(held, same, "left").groupBy("ns_name", "txn_id").agg(
+        F.max(F.when(F.col("txn_state") == COMMIT, F.col("entry_type"))).alias("entry_type"), F.count_if(F.col("txn_state") == COMMIT).alias("n_commits"),
+        F.count_if(F.col("txn_state") == PREPARE).alias("n_prepared"), F.count_if(F.col("h_txn_id").isNull()).alias("n_missing"),
+    )
+    return found.where("n_commits > 0").drop("n_commits").withColumn("is_complete", F.col("n_missing") == 0)

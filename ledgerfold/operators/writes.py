@@ -11,10 +11,11 @@ import time
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.log import LOG
 from . import txn
+from .parts import dense
 
 CHUNK = 1 << 20
 
@@ -70,6 +71,19 @@ class Transaction:
         self.state = "aborted"
 
 
+def records_of(rows: DataFrame, namespace: str | Column, operation: str, entry_type: str, after: int, entry: Column, segment_records: int = 10_000) -> DataFrame:
+    """A log record for each row of a table that is read from files, numbered from after + 1 in the order of the files, without
+    anything passing through the driver. entry is a struct of entry_key, entry_value and cells."""
+    made = dense(rows, "lsn", after + 1).withColumn("_entry", entry)
+    place = F.col("lsn") - 1
+    return made.select(
+        (F.lit(namespace) if isinstance(namespace, str) else namespace).alias("ns_name"), (F.floor(place / segment_records) + 1).alias("segment_id"), (64 + 64 * (place % segment_records)).alias("seg_offset"), "lsn",
+        (F.unix_millis(F.current_timestamp())).alias("hlc"), F.lit(0).cast("bigint").alias("crc32_checksum"), F.lit(operation).alias("operation_type"), F.lit(txn.NONE).alias("txn_state"),
+        F.lit(entry_type).alias("entry_type"), F.lit(None).cast("binary").alias("txn_id"), F.lit(None).cast("binary").alias("prev_txn_wal_index"), F.array("_entry").alias("entries"),
+        F.lit(None).cast("timestamp_ntz").alias("ingested_at"),
+    )
+
+
 class LogWriter:
     """Collects records of one namespace and appends them to a log in Parquet."""
 
@@ -80,13 +94,10 @@ class LogWriter:
 
     def _end(self) -> int:
         """The last lsn of the namespace in the log; 0 if there is none."""
-        try:
-            log = self.spark.read.schema(LOG).parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
-        return log.where(F.col("ns_name") == self.namespace).agg(F.max("lsn")).first()[0] or 0
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return 0
+        return self.spark.read.schema(LOG).parquet(self.path).where(F.col("ns_name") == self.namespace).agg(F.max("lsn")).first()[0] or 0
 
     def _record(self, operation: str, state: str, entry_type: str, entries: list, txn_id: bytes | None = None, crc: int = 0) -> None:
         self.lsn += 1
@@ -116,6 +127,9 @@ class LogWriter:
     def delete_rows(self, *keys: bytes) -> None:
         self._plain(txn.DELETE_ROW, txn.ROW, [(k, None, None) for k in keys])
 
+    def delete_objects(self, *keys: bytes) -> None:
+        self._plain(txn.DELETE, txn.CHUNKED, [(k, None, None) for k in keys])
+
     def put_object(self, key: bytes, data: bytes, chunk: int = CHUNK) -> int:
         """A large object in chunks, as one transaction; returns its checksum."""
         t = self.begin(txn.INSERT, txn.CHUNKED)

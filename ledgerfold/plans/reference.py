@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import checksums, keys, text
 from ..operators import crdt, metrics, replication, segments, snapshot, state, txn
@@ -117,7 +117,7 @@ def log_txn_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def log_stale_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open transactions that a reaper would abort at the log's last time."""
-    log = table(spark, sf_dir, "log_records").where("operation_type <> 'RaftInternal'")
+    log = table(spark, sf_dir, "log_records").withColumn("hlc", hlc_ms())
     now = log.groupBy("ns_name").agg(F.max("hlc").alias("now_ms"))
     t = replication.transactions(log).join(now, "ns_name")
     return hexed(replication.stale(t, F.col("now_ms")).select("ns_name", "txn_id", "n_prepared", "first_lsn"))
@@ -131,19 +131,26 @@ def log_invisible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lost.groupBy("ns_name", "entry_type").agg(F.count("*").alias("n"), F.min("lsn").alias("first_lsn"))
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines as prepared entries of their orders' transactions, and the commits: those of orders with status F."""
+    lines = table(spark, sf_dir, "lineitem").select(F.lit("orders").alias("ns_name"), F.lit(1).alias("lsn"), F.lit("Insert").alias("operation_type"), F.col("l_orderkey").alias("txn_id"), "l_quantity")
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.lit("orders").alias("ns_name"), F.col("o_orderkey").alias("txn_id"), F.lit(2).alias("commit_lsn"), F.lit("Insert").alias("commit_op"))
+    return lines, done
+
+
+def line_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col("txn_id").alias("l_orderkey")).agg(F.count("*").alias("n_lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
 @query
 def txn_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as transactions, F being committed, and their lines as prepared entries."""
-    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
-    return lines.join(done, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return line_sums(txn.visible(*order_lines(spark, sf_dir)))
 
 
 @query
 def txn_invisible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
-    return lines.join(done, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return line_sums(txn.invisible(*order_lines(spark, sf_dir)))
 
 
 @query
@@ -185,7 +192,9 @@ def row_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def row_columns_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_cells(spark, sf_dir).where(F.col("cell_name").isin("view", "purchase"))
+    """The same with two columns named."""
+    cells = event_cells(spark, sf_dir).select(F.lit("Row").alias("entry_type"), F.lit("events").alias("ns_name"), F.col("user_id").alias("entry_key"), F.col("cell_name").alias("part"), "value", F.lit(0).alias("commit_lsn"), F.col("event_id").alias("lsn"), F.lit(0).alias("entry_no"))
+    return state.row_cells(cells, ["view", "purchase"]).select(F.col("entry_key").alias("user_id"), "cell_name", F.col("lsn").alias("event_id"), "value")
 
 
 @query
@@ -268,18 +277,25 @@ def segment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where(bad).select("ns_name", "segment_id", "entry_count", "n_records", "first_log_index", "first_lsn")
 
 
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of segments of 1,000 records."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.lit("events").alias("ns_name"), F.col("event_id").alias("lsn"), F.expr("event_id div 1000 + 1").alias("segment_id"), (F.col("event_id") % 1000 * 64).alias("seg_offset"))
+
+
 @query
 def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a log of segments of 1,000 records."""
-    found = table(spark, sf_dir, "events").select(F.expr("event_id div 1000 + 1").alias("segment_id"), "event_id")
-    return found.groupBy("segment_id").agg(F.count("*").alias("n_records"), F.min("event_id").alias("first_lsn"), F.max("event_id").alias("last_lsn"))
+    return segments.segment_stats(event_log(spark, sf_dir)).select("segment_id", "n_records", "first_lsn", "last_lsn")
 
 
 @query
 def retention_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four oldest segments of events."""
-    found = table(spark, sf_dir, "events").select(F.expr("event_id div 1000 + 1").alias("segment_id"), "event_id")
-    return found.groupBy("segment_id").agg(F.count("*").alias("n_records")).orderBy("segment_id").limit(4)
+    """The four oldest segments of events, by a retention that keeps all but four."""
+    stats = segments.segment_stats(event_log(spark, sf_dir))
+    headers = stats.select("ns_name", "segment_id", F.lit(None).cast("timestamp").alias("last_modified_at"), F.col("n_records").alias("entry_count"), F.lit(0).alias("write_offset"), F.lit(segments.SEALED).cast("bigint").alias("flags"))
+    keep = max(stats.count() - 4, 0)
+    gone = segments.retention(headers, keep, least=0)
+    return stats.join(gone, ["ns_name", "segment_id"], "left_semi").select("segment_id", "n_records")
 
 
 # ---- continuity, positions, scans ---------------------------------------------------------------------------------
@@ -373,10 +389,11 @@ def replica_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def replica_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each user's last event is behind the last of all, whose one row is broadcast."""
     events = table(spark, sf_dir, "events")
     heads = events.select(F.lit(1).alias("one"), "event_id").groupBy("one").agg(F.max("event_id").alias("head"))
     own = events.groupBy("user_id").agg(F.max("event_id").alias("last_id")).withColumn("one", F.lit(1))
-    return metrics.lag(heads, own, ["one"], "head", "last_id", 100).select("user_id", "last_id", "lag", "is_behind")
+    return metrics.lag(F.broadcast(heads), own, ["one"], "head", "last_id", 100).select("user_id", "last_id", "lag", "is_behind")
 
 
 @query
@@ -446,11 +463,20 @@ def log_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("ns_name", "operation_type", "entry_type", "txn_state").agg(F.count("*").alias("n_records"), F.sum(F.coalesce(F.size("entries"), F.lit(0)).cast("bigint")).alias("n_entries"))
 
 
+#: Times above this are nanoseconds: as milliseconds they would lie beyond the year 30000.
+MOST_MS = 1_000_000_000_000_000
+
+
+def hlc_ms() -> Column:
+    """A record's time in milliseconds; placeholders have theirs in nanoseconds."""
+    return F.when(F.col("hlc") > MOST_MS, F.floor(F.col("hlc") / 1_000_000)).otherwise(F.col("hlc"))
+
+
 @query
 def log_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Milliseconds from a record's time to its arrival, by namespace; placeholders have another unit and are left out."""
-    log = table(spark, sf_dir, "log_records").where("operation_type <> 'RaftInternal' AND hlc IS NOT NULL")
-    late = log.withColumn("ms", (F.unix_micros(F.col("ingested_at").cast("timestamp")) / 1000).cast("bigint") - F.col("hlc"))
+    """Milliseconds from a record's time to its arrival, by namespace; n counts the records that have a time."""
+    log = table(spark, sf_dir, "log_records")
+    late = log.withColumn("ms", (F.unix_micros(F.col("ingested_at").cast("timestamp")) / 1000).cast("bigint") - hlc_ms())
     return metrics.quantiles(late, ["ns_name"], "ms", {"p50": 0.5, "p90": 0.9, "p99": 0.99}).select("ns_name", "n", *[F.round(c, 3).alias(c) for c in ("p50", "p90", "p99")])
 
 
@@ -463,8 +489,8 @@ def op_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour of all types, and the change from the hour before."""
-    hours = table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("bucket")).agg(F.count("*").alias("n"))
-    return hours.withColumn("delta", F.col("n") - F.lag("n").over(W.orderBy("bucket"))).select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "n", "delta")
+    hours = metrics.rates(table(spark, sf_dir, "events"), "ts", "hour", [])
+    return hours.select(F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "n", "delta")
 
 
 @query

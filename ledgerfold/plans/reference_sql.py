@@ -152,7 +152,7 @@ SELECT ns_name, entry_type, count(*) AS n_values, CAST(sum(lsn) AS BIGINT) AS su
     "log_txn_status": TXNS
     + " SELECT ns_name, status, count(*) AS n, CAST(sum(n_prepared) AS BIGINT) AS n_prepared, CAST(sum(last_ms - first_ms) AS BIGINT) AS sum_ms FROM txns GROUP BY ALL",
     "log_stale_txns": TXNS
-    + """, now AS (SELECT ns_name, max(hlc) AS now_ms FROM log WHERE operation_type <> 'RaftInternal' GROUP BY ALL)
+    + """, now AS (SELECT ns_name, max(CASE WHEN operation_type = 'RaftInternal' THEN hlc // 1000000 ELSE hlc END) AS now_ms FROM log GROUP BY ALL)
 SELECT ns_name, hex(txn_id) AS txn_id, n_prepared, first_lsn FROM txns JOIN now USING (ns_name)
 WHERE status = 'open' AND (now_ms - last_ms >= 120000 OR now_ms - first_ms >= 900000)""",
     "log_invisible": LOG
@@ -226,16 +226,19 @@ SELECT consumer_id, ns_name, at_lsn, greatest(head - coalesce(at_lsn, 0), 0) AS
     "stream_batches_stats": """WITH r AS (SELECT consumer_id, ns_name, batch_id, unnest(CASE WHEN len(records) > 0 THEN records ELSE [NULL] END) AS r FROM stream_batches)
 SELECT consumer_id, ns_name, count(DISTINCT batch_id) AS n_batches, count(r) AS n_records, CAST(sum(octet_length(r.record)) AS BIGINT) AS n_bytes,
   count(*) FILTER (r IS NOT NULL AND r.crc32_checksum IS NULL) AS n_unchecked, max(r.lsn) AS last_lsn FROM r GROUP BY ALL""",
-    "stream_flushes": """WITH r AS (SELECT consumer_id, batch_id, unnest(range(len(records))) AS pos, octet_length(unnest(records).record) AS n FROM stream_batches),
-s AS (SELECT consumer_id, n, coalesce(sum(n) OVER (PARTITION BY consumer_id ORDER BY batch_id, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1024 AS batch_no FROM r)
-SELECT consumer_id, CAST(batch_no AS BIGINT) AS batch_no, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_bytes FROM s GROUP BY ALL""",
+    "stream_flushes": """WITH RECURSIVE f AS (SELECT consumer_id, batch_id, unnest(range(len(records))) AS pos, coalesce(octet_length(unnest(records).record), 0) AS n FROM stream_batches),
+c AS (SELECT consumer_id, n, row_number() OVER w AS i, sum(n) OVER w AS upto FROM f WINDOW w AS (PARTITION BY consumer_id ORDER BY batch_id, pos ROWS UNBOUNDED PRECEDING)),
+firsts AS (SELECT consumer_id, upto, min(i) AS i FROM c GROUP BY ALL),
+nxt AS (SELECT c.consumer_id, c.i, e.i AS last FROM c ASOF JOIN firsts e ON c.consumer_id = e.consumer_id AND c.upto - c.n + 1024 <= e.upto),
+walk AS (SELECT DISTINCT consumer_id, 1::BIGINT AS i, 0::BIGINT AS batch_no FROM c UNION ALL SELECT consumer_id, last + 1, batch_no + 1 FROM walk JOIN nxt USING (consumer_id, i))
+SELECT c.consumer_id, w.batch_no, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_bytes FROM c ASOF JOIN walk w ON c.consumer_id = w.consumer_id AND c.i >= w.i GROUP BY ALL""",
     "namespace_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "member_changes": """WITH a AS (SELECT consumer_id, max(ns_name) AS m FROM stream_requests GROUP BY ALL), b AS (SELECT consumer_id, min(ns_name) AS s FROM stream_batches GROUP BY ALL)
 SELECT consumer_id, CASE WHEN s IS NULL THEN 'add' WHEN m IS NULL THEN 'remove' ELSE 'update' END AS action FROM a FULL JOIN b USING (consumer_id) WHERE s IS DISTINCT FROM m""",
     "log_ops": LOG
     + """ SELECT ns_name, operation_type, entry_type, txn_state, count(*) AS n_records, CAST(sum(coalesce(len(entries), 0)) AS BIGINT) AS n_entries FROM log GROUP BY ALL""",
-    "log_latency": """WITH l AS (SELECT ns_name, epoch_us(ingested_at) // 1000 - hlc AS ms FROM log_records WHERE operation_type <> 'RaftInternal' AND hlc IS NOT NULL)
-SELECT ns_name, count(*) AS n, round(quantile_cont(ms, 0.5), 3) AS p50, round(quantile_cont(ms, 0.9), 3) AS p90, round(quantile_cont(ms, 0.99), 3) AS p99 FROM l GROUP BY ALL""",
+    "log_latency": """WITH l AS (SELECT ns_name, epoch_us(ingested_at) // 1000 - CASE WHEN operation_type = 'RaftInternal' THEN hlc // 1000000 ELSE hlc END AS ms FROM log_records)
+SELECT ns_name, count(ms) AS n, round(quantile_cont(ms, 0.5), 3) AS p50, round(quantile_cont(ms, 0.9), 3) AS p90, round(quantile_cont(ms, 0.99), 3) AS p99 FROM l GROUP BY ALL""",
     "op_stats": """SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99
 FROM events GROUP BY ALL""",
     "op_rate": """WITH h AS (SELECT date_trunc('hour', ts) AS b, count(*) AS n FROM events GROUP BY ALL)

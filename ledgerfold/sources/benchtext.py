@@ -19,7 +19,7 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: A line of the trace: cycle, time, CPU share, pauses, heap sizes, goal. Fixed pattern of the runtime's format.
-GC = r"gc (\d+) @([\d.]+)s (\d+)%: ([\d.]+)\+([\d.]+)\+([\d.]+) ms clock, .* ms cpu, (\d+)->(\d+)->(\d+) MB, (\d+) MB goal"
+GC = r"gc (\d+) @([\d.]+)s (\d+)%: ([\d.]+)\+([\d.]+)(?:\+([\d.]+))? ms clock, .* ms cpu, (\d+)->(\d+)->(\d+) MB, (\d+) MB goal"
 
 
 def gc_trace(spark: SparkSession, path: str) -> DataFrame:
@@ -28,10 +28,12 @@ def gc_trace(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gc_lines(lines: DataFrame) -> DataFrame:
+    """The older form of a line has two times on the clock, both of them pauses."""
     found = lines.where(F.col("value").rlike(GC))
+    old = _part(GC, 6).isNull()
     return found.select(
-        _part(GC, 1, "bigint").alias("cycle"), _part(GC, 2).alias("at_s"), _part(GC, 3).alias("cpu_percent"), (_part(GC, 4) + _part(GC, 6)).alias("pause_ms"),
-        _part(GC, 5).alias("concurrent_ms"), _part(GC, 7, "bigint").alias("heap_before"), _part(GC, 9, "bigint").alias("heap_after"), _part(GC, 10, "bigint").alias("goal_mb"),
+        _part(GC, 1, "bigint").alias("cycle"), _part(GC, 2).alias("at_s"), _part(GC, 3).alias("cpu_percent"), (_part(GC, 4) + F.when(old, _part(GC, 5)).otherwise(_part(GC, 6))).alias("pause_ms"),
+        F.when(old, 0.0).otherwise(_part(GC, 5)).alias("concurrent_ms"), _part(GC, 7, "bigint").alias("heap_before"), _part(GC, 9, "bigint").alias("heap_after"), _part(GC, 10, "bigint").alias("goal_mb"),
     )
 
 
@@ -58,3 +60,25 @@ def blocks(lines: DataFrame, order: str, heading: str, sample: str) -> DataFrame
     own = F.nullif(F.regexp_extract("value", heading, 1), F.lit(""))
     marked = lines.withColumn("heading", F.last(own, ignorenulls=True).over(w))
     return marked.where(F.col("value").rlike(sample)).select("heading", F.regexp_extract("value", sample, 1).alias("sample"))
+
+
+def load_by_size(samples: DataFrame) -> DataFrame:
+    """(relayers, op, rps, latency_ms): the means of (relayers, op, rps, latency_ms) samples by number of relayers and operation."""
+    return samples.groupBy("relayers", "op").agg(F.avg("rps").alias("rps"), F.avg("latency_ms").alias("latency_ms"))
+
+
+#: A line of the segment benchmark: access, segment and chunk size, mode, time. Fixed pattern of the format.
+CHUNK_LINE = r"Benchmark\w*/(\w+)/segment_(\d+)MB/chunk_(\d+)KB/(\w+)\S*\s+\d+\s+(\d+) ns/op"
+SMALL_KB = 16
+
+
+def chunk_lines(lines: DataFrame) -> DataFrame:
+    """(mode, chunk_kb, ns) of the lines of a segment benchmark; mode is access/mode."""
+    found = lines.where(F.col("value").rlike(CHUNK_LINE))
+    part = lambda i: F.regexp_extract("value", CHUNK_LINE, i)
+    return found.select(F.concat_ws("/", part(1), part(4)).alias("mode"), part(3).cast("bigint").alias("chunk_kb"), part(5).cast("bigint").alias("ns"))
+
+
+def chunk_summary(chunks: DataFrame) -> DataFrame:
+    """(mode, is_small, mean_ms): mean times of chunks up to 16 KB and above."""
+    return chunks.groupBy("mode", (F.col("chunk_kb") <= SMALL_KB).alias("is_small")).agg((F.avg("ns") / 1e6).alias("mean_ms"))

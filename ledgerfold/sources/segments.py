@@ -28,6 +28,7 @@ TYPES = ["KV", "Chunked", "Row", "Event"]
 FRAMES = "path string, segment_id bigint, seg_offset bigint, data binary"
 HEADERS = "path string, segment_id bigint, magic bigint, fmt_version bigint, created_ns bigint, modified_ns bigint, write_offset bigint, entry_count bigint, flags bigint, first_log_index bigint, crc bigint, is_valid boolean"
 RECORD = "lsn bigint, hlc bigint, crc32_checksum bigint, operation_type string, txn_state string, entry_type string, txn_id binary, prev_txn_wal_index binary, entries array<struct<entry_key:binary,entry_value:binary,cells:map<string,binary>>>"
+RECORD_COLUMNS = ["lsn", "hlc", "crc32_checksum", "operation_type", "txn_state", "entry_type", "txn_id", "prev_txn_wal_index", "entries"]
 
 
 def header(data: bytes) -> dict | None:
@@ -116,6 +117,12 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """FRAMES of all segment files below path, one task per group of files; a file's number is in its name."""
+    return frames_of(_files(spark, path))
+
+
+def frames_of(files: DataFrame) -> DataFrame:
+    """FRAMES of files that stand in a table (path, segment_id, content), as to_segments() makes them."""
+    ship(files.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -129,11 +136,17 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
                     names=["path", "segment_id", "seg_offset", "data"],
                 )
 
-    return _files(spark, path).mapInArrow(run, FRAMES)
+    return files.select("path", "segment_id", "content").mapInArrow(run, FRAMES)
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """HEADERS of all segment files; those too short for a header are left out."""
+    return headers_of(_files(spark, path))
+
+
+def headers_of(files: DataFrame) -> DataFrame:
+    """HEADERS of files that stand in a table (path, segment_id, content)."""
+    ship(files.sparkSession)
 
     def run(batches):
         import pandas as pd
@@ -142,27 +155,32 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
             rows = [dict(path=p, segment_id=s, **h) for p, s, h in zip(pdf["path"], pdf["segment_id"], (header(bytes(c)) for c in pdf["head"])) if h]
             yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in HEADERS.split(", ")])
 
-    return _files(spark, path).select("path", "segment_id", F.substring("content", 1, HEADER).alias("head")).mapInPandas(run, HEADERS)
+    return files.select("path", "segment_id", F.substring("content", 1, HEADER).alias("head")).mapInPandas(run, HEADERS)
 
 
 def read_log(spark: SparkSession, path: str, namespace: str) -> DataFrame:
     """The log records of segment files, with the columns that the operators take."""
+    return records_of(read_frames(spark, path)).select(F.lit(namespace).alias("ns_name"), "segment_id", "seg_offset", *RECORD_COLUMNS)
+
+
+def records_of(found: DataFrame) -> DataFrame:
+    """(path, segment_id, seg_offset, RECORD) of FRAMES."""
+    ship(found.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            offsets, data = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            data = batch.column(3).to_pylist()
             rows = [record(d) for d in data]
             cells = pa.map_(pa.string(), pa.binary())
             kind = pa.list_(pa.struct([("entry_key", pa.binary()), ("entry_value", pa.binary()), ("cells", cells)]))
             made = [[dict(entry_key=k, entry_value=v, cells=None if c is None else list(c.items())) for k, v, c in r["entries"]] for r in rows]
             simple = [("lsn", pa.int64()), ("hlc", pa.int64()), ("crc32_checksum", pa.int64()), ("operation_type", pa.string()), ("txn_state", pa.string()), ("entry_type", pa.string()), ("txn_id", pa.binary()), ("prev_txn_wal_index", pa.binary())]
             columns = [pa.array([r[c] for r in rows], t) for c, t in simple]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(offsets, pa.int64()), *columns, pa.array(made, kind)], names=["segment_id", "seg_offset", *[c for c, _ in simple], "entries"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(made, kind)], names=["path", "segment_id", "seg_offset", *[c for c, _ in simple], "entries"])
 
-    raw = read_frames(spark, path).select("segment_id", "seg_offset", "data")
-    return raw.mapInArrow(run, f"segment_id bigint, seg_offset bigint, {RECORD}").select(F.lit(namespace).alias("ns_name"), "*")
+    return found.mapInArrow(run, f"path string, segment_id bigint, seg_offset bigint, {RECORD}")
 
 
 def to_segments(log: DataFrame) -> DataFrame:
@@ -171,7 +189,7 @@ def to_segments(log: DataFrame) -> DataFrame:
     A segment is of bounded size by the log's own rotation, so it fits the one task that builds it.
     """
     ship(log.sparkSession)
-    names = ["lsn", "hlc", "crc32_checksum", "operation_type", "txn_state", "entry_type", "txn_id", "prev_txn_wal_index", "entries"]
+    names = RECORD_COLUMNS
 
     def run(group):
         import pyarrow as pa

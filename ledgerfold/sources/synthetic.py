@@ -31,3 +31,24 @@ def picks(spark: SparkSession, n: int, pool: int, seed: int = 0) -> DataFrame:
     """(pick_no, key_no): n picks from a pool of keys, with replacement."""
     own = spark.range(n).withColumnRenamed("id", "pick_no")
     return own.select("pick_no", F.floor(_hash(F.col("pick_no"), seed, "pick") * pool).cast("bigint").alias("key_no"))
+
+
+def mutated(keys_: DataFrame, round_no: int, seed: int = 0, duplicates: float = 0.05, replacements: float = 0.05) -> DataFrame:
+    """(key_no, key): a pool of keys in which a share of the places has another place's key, and a share a new one."""
+    n = keys_.count()
+    own = keys_.withColumn("_p", _hash(F.col("key_no"), seed, round_no, "what"))
+    other = F.floor(_hash(F.col("key_no"), seed, round_no, "other") * n).cast("bigint")
+    source = keys_.select(F.col("key_no").alias("_from"), F.col("key").alias("_key"))
+    fresh = F.sha2(F.concat_ws("-", F.lit(str(seed)), F.lit(str(round_no)), "key_no"), 256).cast("binary")
+    joined = own.withColumn("_from", F.when(F.col("_p") < duplicates, other)).join(source, "_from", "left")
+    return joined.select("key_no", F.when(F.col("_p") < duplicates, F.col("_key")).when(F.col("_p") < duplicates + replacements, fresh).otherwise(F.col("key")).alias("key"))
+
+
+def operations(spark: SparkSession, n: int, weights: dict[str, float], seed: int = 0) -> DataFrame:
+    """(op_no, op): n operations drawn by weight."""
+    total, upto, op = sum(weights.values()), 0.0, None
+    at = _hash(F.col("op_no"), seed, "op")
+    for name, weight in weights.items():
+        upto += weight / total
+        op = F.when(at < upto, name) if op is None else op.when(at < upto, name)
+    return spark.range(n).withColumnRenamed("id", "op_no").withColumn("op", op.otherwise(list(weights)[-1]))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import replication, txn
 from ..operators.change_feed import FeedTable
-from ..session import Folder
+from ..operators.parts import PartStore, bucket_of, numbers_of
+from ..session import Folder, attempt
 
 
 def into_table(log: DataFrame, feed: FeedTable, checkpoint: str) -> StreamingQuery:
@@ -21,7 +22,8 @@ def into_table(log: DataFrame, feed: FeedTable, checkpoint: str) -> StreamingQue
 
 
 def once(checkpoint_folder: Folder, step: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """step for foreachBatch, skipped for batches whose commit file is there: for steps that mustn't be done twice."""
+    """step for foreachBatch, skipped for batches whose commit file is there. The file is written after the step, so a step that
+    was done just before a crash is done again: at least once, and exactly once only for steps whose repetition changes nothing."""
 
     def run(batch: DataFrame, number: int) -> None:
         if not checkpoint_folder.exists(f"batches/{number}.json"):
@@ -37,31 +39,37 @@ def latest(rows: DataFrame, keys: list[str], order: list[str], carry: list[str])
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in carry])
 
 
-def latest_merged(folder: Folder, keys: list[str], order: list[str], carry: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the same with the state in a table, so that its size is no limit of the executors' memory.
+class LatestTable(PartStore):
+    """For foreachBatch: the last row of each key, kept in a table, so that its size is no limit of the executors' memory.
 
-    Each batch writes the merge of the last state and its own rows as state/batch=N, then commits; run again, it writes
-    the same from the same state.
+    The table is cut into buckets by key; a micro-batch reads and rewrites those it touches, in a folder of its own, and commits.
+    A batch that was committed before and is run again changes nothing. vacuum() removes what is no longer named.
     """
 
-    def run(batch: DataFrame, number: int) -> None:
-        done = [int(n[:-5]) for n in folder.names("commits")]
-        if number in done:
-            return
-        rows = batch.select(*keys, *dict.fromkeys([*order, *carry]))
-        if done:
-            rows = rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(folder / f"state/batch={max(done)}"))
-        cols = list(dict.fromkeys([*order, *carry]))
-        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("_b")).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in cols])
-        best.write.mode("overwrite").parquet(folder / f"state/batch={number}")
-        folder.commit_json(f"commits/{number}.json", {"batch": number})
+    HELD = {"state"}
 
-    return run
+    def __init__(self, spark: SparkSession, path: str, rows: T.StructType, keys: list[str], order: list[str], carry: list[str], buckets: int = 16):
+        super().__init__(spark, path, buckets=buckets)
+        self.keys, self.order, self.columns = keys, order, list(dict.fromkeys([*keys, *order, *carry]))
+        fields = ", ".join(f"`{c}` {rows[c].dataType.simpleString()}" for c in self.columns)
+        self.PARTS, self.SORTED = {"state": f"{fields}, bucket int"}, {"state": keys}
 
+    def apply(self, batch: DataFrame, number: int) -> None:
+        before = self.manifest()
+        if number < before.get("next_batch", 0):
+            return
+        name, bucket = attempt(before["epoch"] + 1), bucket_of(self.keys, before)
+        rows = batch.select(*self.columns).withColumn("bucket", bucket)
+        touched = numbers_of(rows.agg(F.bitmap_construct_agg(F.col("bucket").cast("bigint"))).first()[0])
+        rows = rows.unionByName(self.read_held("state", before, touched))
+        rest = [c for c in self.columns if c not in self.keys]
+        best = rows.groupBy(*self.keys, "bucket").agg(F.max_by(F.struct(*rest), F.struct(*self.order)).alias("_b")).select(*self.keys, *[F.col(f"_b.{c}").alias(c) for c in rest], "bucket")
+        self.write_part(best, "state", name)
+        self.commit(before | {"epoch": before["epoch"] + 1, "next_batch": number + 1, "state": self.held_after(before["state"], touched, name, touched)})
+        self.vacuum()
 
-def merged_state(spark, folder: Folder) -> DataFrame:
-    last = max(int(n[:-5]) for n in folder.names("commits"))
-    return spark.read.parquet(folder / f"state/batch={last}")
+    def read(self) -> DataFrame:
+        return self.read_held("state", self.manifest()).drop("bucket")
 
 
 def to_objects(log: DataFrame, path: str, checkpoint: str, per_folder: int = 1 << 16) -> StreamingQuery:
@@ -70,12 +78,15 @@ def to_objects(log: DataFrame, path: str, checkpoint: str, per_folder: int = 1 <
     return out.writeStream.partitionBy("ns_name", "stretch").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def notifications(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """JSON messages for changes outside transactions, as they come, in a folder for each topic. Those in transactions
-    are only known at their commit, and come from the batch operator over the table of waiting entries."""
-    plain = txn.plain(txn.entries(log)).where("entry_key IS NOT NULL")
-    sent = replication.notifications(plain, F.col("entry_key"))
-    return sent.writeStream.partitionBy("topic").format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def notifying(feed: FeedTable, path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: apply a micro-batch to a table, then write JSON messages of what it made effective, by topic. Entries of a
+    transaction are told when its commit has come. A batch that is run again tells the same messages again: at least once."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        changes = feed.changes(feed.apply(batch))
+        replication.notifications(changes, F.col("entry_key")).write.mode("append").partitionBy("topic").json(path)
+
+    return step
 
 
 def sessions(rows: DataFrame, by: list[str], ts: str, gap: str, late: str) -> DataFrame:

@@ -37,7 +37,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float],
     width = F.col("_hi") - F.col("_lo")
     block = F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width * RANGES)).otherwise(0)
     # the number of rows before a value is the rank of its first row, and that with its own less one that of its last
-    ranked = skew.running(counts, names, block, ["_v"], F.col("_c"), "_before")
+    ranked = skew.running(counts, names, block, ["_v"], F.col("_c"), "_before", nullable=False)
     picks = []
     for name, q in at.items():
         rank = (F.col("n") - 1) * F.lit(float(q))
@@ -103,7 +103,7 @@ def sessions(rows: DataFrame, by: list[str], ts: str, gap: str) -> DataFrame:
     before = F.coalesce(F.lag("_us").over(W.partitionBy(*names, "_s").orderBy("_us")), F.col("_end"))
     starts = F.when(before.isNull() | (F.col("_us") - before >= F.col("_gap")), 1).otherwise(0)
     marked = own.join(ends, [*names, "_s"]).withColumn("_start", starts)
-    numbered = skew.running(marked, names, F.col("_s"), ["_us"], F.col("_start"), "_before").withColumn("_no", F.col("_before") + F.col("_start"))
+    numbered = skew.running(marked, names, F.col("_s"), ["_us"], F.col("_start"), "_before", nullable=False).withColumn("_no", F.col("_before") + F.col("_start"))
     found = numbered.groupBy(*names, "_no").agg(F.min("_at").alias("started_at"), F.max("_at").alias("ended_at"), F.sum("_rows").alias("n"))
     return found.select(*nulls.joined(by), "started_at", "ended_at", "n")
 

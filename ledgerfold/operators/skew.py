@@ -67,17 +67,19 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str] | None = None, c
     return out.withColumn(CHUNK, F.floor(F.col(NUMBER) / chunk_rows)).select(*nulls.joined(keys), *rest, NUMBER, CHUNK)
 
 
-def running(rows: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, name: str) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, name: str, nullable: bool = True) -> DataFrame:
     """rows with name: the sum of value over the earlier rows of the same key, 0 for the first; with value 1, the row's number.
 
     block is a number that grows with order, such as a sequence number divided by some thousands. Sums run inside
-    blocks, and the blocks' totals give each block its start, so a key with most of the rows is spread over its blocks.
+    blocks, and the blocks' totals give each block its start, so a key with most of the rows is spread over its blocks. With
+    nullable=False the keys have no nulls.
     """
-    own = rows.select("*", *nulls.split(rows, keys), block.alias(BLOCK), value.alias("_skew_value"))
-    place = [*nulls.names(keys), BLOCK]
+    own = rows.select("*", *(nulls.split(rows, keys) if nullable else []), block.alias(BLOCK), value.alias("_skew_value"))
+    names = nulls.names(keys) if nullable else keys
+    place = [*names, BLOCK]
     inside = F.coalesce(F.sum("_skew_value").over(W.partitionBy(*place).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = own.groupBy(*place).agg(F.sum("_skew_value").alias("_skew_sum"))
-    before = F.coalesce(F.sum("_skew_sum").over(W.partitionBy(*nulls.names(keys)).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("_skew_sum").over(W.partitionBy(*names).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(*place, before.alias("_skew_start"))
     out = own.withColumn("_skew_inside", inside).join(starts, place)
     return out.withColumn(name, (F.col("_skew_start") + F.col("_skew_inside")).cast("bigint")).select(*rows.columns, name)

@@ -227,11 +227,11 @@ SELECT consumer_id, ns_name, at_lsn, greatest(head - coalesce(at_lsn, 0), 0) AS
 SELECT consumer_id, ns_name, count(DISTINCT batch_id) AS n_batches, count(r) AS n_records, CAST(sum(octet_length(r.record)) AS BIGINT) AS n_bytes,
   count(*) FILTER (r IS NOT NULL AND r.crc32_checksum IS NULL) AS n_unchecked, max(r.lsn) AS last_lsn FROM r GROUP BY ALL""",
     "stream_flushes": """WITH RECURSIVE f AS (SELECT consumer_id, batch_id, unnest(range(len(records))) AS pos, coalesce(octet_length(unnest(records).record), 0) AS n FROM stream_batches),
-c AS (SELECT consumer_id, n, row_number() OVER w AS i, sum(n) OVER w AS upto FROM f WINDOW w AS (PARTITION BY consumer_id ORDER BY batch_id, pos ROWS UNBOUNDED PRECEDING)),
-firsts AS (SELECT consumer_id, upto, min(i) AS i FROM c GROUP BY ALL),
-nxt AS (SELECT c.consumer_id, c.i, e.i AS last FROM c ASOF JOIN firsts e ON c.consumer_id = e.consumer_id AND c.upto - c.n + 1024 <= e.upto),
-walk AS (SELECT DISTINCT consumer_id, 1::BIGINT AS i, 0::BIGINT AS batch_no FROM c UNION ALL SELECT consumer_id, last + 1, batch_no + 1 FROM walk JOIN nxt USING (consumer_id, i))
-SELECT c.consumer_id, w.batch_no, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_bytes FROM c ASOF JOIN walk w ON c.consumer_id = w.consumer_id AND c.i >= w.i GROUP BY ALL""",
+c AS (SELECT consumer_id, n, row_number() OVER w AS i, (sum(n) OVER w)::BIGINT AS upto FROM f WINDOW w AS (PARTITION BY consumer_id ORDER BY batch_id, pos ROWS UNBOUNDED PRECEDING)),
+nxt AS (SELECT consumer_id, i, min(i) OVER (PARTITION BY consumer_id ORDER BY upto RANGE BETWEEN greatest(1024 - n, 0) FOLLOWING AND UNBOUNDED FOLLOWING) AS last FROM c),
+walk AS (SELECT DISTINCT consumer_id, 1::BIGINT AS i, 0::BIGINT AS batch_no FROM c UNION ALL SELECT consumer_id, last + 1, batch_no + 1 FROM walk JOIN nxt USING (consumer_id, i) WHERE last IS NOT NULL),
+cut AS (SELECT consumer_id, batch_no, i AS lo, coalesce(lead(i) OVER (PARTITION BY consumer_id ORDER BY i), 9223372036854775807) AS hi FROM walk)
+SELECT c.consumer_id, batch_no, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_bytes FROM c JOIN cut w ON c.consumer_id = w.consumer_id AND c.i >= w.lo AND c.i < w.hi GROUP BY ALL""",
     "namespace_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "member_changes": """WITH a AS (SELECT consumer_id, max(ns_name) AS m FROM stream_requests GROUP BY ALL), b AS (SELECT consumer_id, min(ns_name) AS s FROM stream_batches GROUP BY ALL)
 SELECT consumer_id, CASE WHEN s IS NULL THEN 'add' WHEN m IS NULL THEN 'remove' ELSE 'update' END AS action FROM a FULL JOIN b USING (consumer_id) WHERE s IS DISTINCT FROM m""",

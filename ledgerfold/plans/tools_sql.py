@@ -12,7 +12,7 @@ DURATION = """CASE WHEN s < 60 THEN s || 's' ELSE
 LIST = ("SELECT DISTINCT ON (ns_name, segment_id) *, CASE WHEN flags & 2 <> 0 THEN 'sealed' ELSE 'active' END AS status FROM segment_headers "
         "ORDER BY ns_name, segment_id, last_modified_at DESC NULLS LAST, entry_count DESC NULLS LAST, write_offset DESC NULLS LAST")
 GC = """g AS (SELECT event_id AS cycle, round(event_id / 10, 1) AS at_s, CASE WHEN event_id % 5 = 0 THEN round(value, 1) + 2.0 ELSE round(value, 1) + 0.5 END AS pause_ms,
-  CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE 3.0 END AS concurrent_ms, user_id FROM events WHERE event_id % 11 <> 0)"""
+  (CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE 3.0 END)::DOUBLE AS concurrent_ms, user_id FROM events WHERE event_id % 11 <> 0)"""
 LIVE = P1_FOUND
 
 SQL = {

@@ -43,7 +43,7 @@ def labelled(row: DataFrame, fields: dict[str, Column], width: int = 19) -> Data
 def csv_lines(rows: DataFrame, columns: list[str], header: bool = False) -> DataFrame:
     """(line): the rows as CSV; numbers with decimals have two of them."""
     kinds = dict(rows.dtypes)
-    cell = lambda c: F.format_string("%.2f", c) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+    cell = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f", c)) if kinds[c] in ("double", "float") else F.col(c).cast("string")
     quoted = lambda x: F.when(x.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
     out = rows.select(F.concat_ws(",", *[F.coalesce(quoted(cell(c)), F.lit("")) for c in columns]).alias("line"))
     return rows.sparkSession.createDataFrame([(",".join(columns),)], "line string").unionByName(out) if header else out

@@ -78,6 +78,14 @@ def to_objects(log: DataFrame, path: str, checkpoint: str, per_folder: int = 1 <
     return out.writeStream.partitionBy("ns_name", "stretch").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def notifications(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """JSON messages for changes outside transactions only, as they come, in a folder for each topic: a stream without a table.
+    notifying() tells those of transactions too."""
+    plain = txn.plain(txn.entries(log)).where("entry_key IS NOT NULL")
+    sent = replication.notifications(plain, F.col("entry_key"))
+    return sent.writeStream.partitionBy("topic").format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def notifying(feed: FeedTable, path: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: apply a micro-batch to a table, then write JSON messages of what it made effective, by topic. Entries of a
     transaction are told when its commit has come. A batch that is run again tells the same messages again: at least once."""

@@ -26,15 +26,32 @@ def test_log_into_table_through_restarts(spark, tmp_path):
     assert got == fold(records)[0]
 
 
-def test_merged_state(spark):
-    folder = work_folder(spark, "t")
-    step = folds.latest_merged(folder, ["k"], ["o"], ["v"])
-    df = lambda rows: spark.createDataFrame(rows, "k string, o int, v string")
-    step(df([("a", 1, "x"), ("b", 5, "y"), (None, 1, "n")]), 0)
-    step(df([("a", 2, "z"), ("b", 4, "late")]), 1)
-    step(df([("a", 9, "twice")]), 1)  # a batch that was done already
-    step(df([]), 2)
-    assert {(r.k, r.o, r.v) for r in folds.merged_state(spark, folder).collect()} == {("a", 2, "z"), ("b", 5, "y"), (None, 1, "n")}
+def test_latest_in_a_table(spark):
+    schema = "k string, o int, v string, bucket string"
+    df = lambda rows: spark.createDataFrame([(*r, "x") for r in rows], schema)
+    t = folds.LatestTable(spark, work_folder(spark, "t").path, df([]).schema, ["k"], ["o"], ["v"], buckets=3)
+    assert t.read().count() == 0
+    t.apply(df([("a", 1, "x"), ("b", 5, "y"), (None, 1, "n")]), 0)
+    t.apply(df([("a", 2, "z"), ("b", 4, "late")]), 1)
+    t.apply(df([("a", 9, "twice")]), 1)  # a batch that was done already
+    t.apply(df([]), 2)
+    assert {(r.k, r.o, r.v) for r in t.read().collect()} == {("a", 2, "z"), ("b", 5, "y"), (None, 1, "n")}
+    assert len(t.folder.names("state")) == len(set(t.manifest()["state"].values()))
+
+
+def test_messages_at_their_commit(spark, tmp_path):
+    """Entries of a transaction are told once its commit is there, those of an aborted one never."""
+    import json
+
+    from logs import kv, txn
+
+    feed, path = FeedTable(spark, work_folder(spark, "t").path), str(tmp_path / "out")
+    step = folds.notifying(feed, path)
+    told = lambda: sorted((m["operation"], m["seq_num"]) for m in (json.loads(r.message) for r in spark.read.json(path).distinct().collect()))
+    step(spark.createDataFrame([kv(1, b"k", b"v"), *txn(b"t", "KV", ("B", 2), ("P", 3, (b"k", None))), *txn(b"lost", "KV", ("P", 4, (b"x", None)))], LOG), 0)
+    assert told() == [("put", 1)]
+    step(spark.createDataFrame([*txn(b"t", "KV", ("C", 5), op="Delete"), rec(6, "DeleteRowByKey", kind="Row", entries=[(b"r", None)])], LOG), 1)
+    assert told() == [("delete", 5), ("delete_row", 6), ("put", 1)]
 
 
 def test_once(spark):

@@ -11,10 +11,11 @@ from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import bitmaps
 from ..session import Folder, attempt, staged
+from .parts import observed
 
 #: Log sequence numbers are handled in stretches of this many.
 STRETCH = 4096
@@ -42,7 +43,7 @@ class IncrementalStore:
     def marks(self) -> DataFrame | None:
         """The watermark of each stream after the last committed run; None before the first."""
         at = self.manifest()["marks"]
-        return self.spark.read.parquet(self.folder / f"marks/{at}") if at else None
+        return self.spark.read.parquet(self.folder / f"marks/{at}").drop("_low") if at else None
 
     def part(self, name: str, *runs: int) -> DataFrame | None:
         """What the committed runs, or those named, gave beside each other under a name; None if nothing."""
@@ -54,17 +55,20 @@ class IncrementalStore:
         """What the committed runs gave, or those named."""
         return self.part("out", *runs)
 
-    def commit(self, output: DataFrame | dict[str, DataFrame], marks: DataFrame, before: dict | None = None) -> int:
+    def commit(self, output: DataFrame | dict[str, DataFrame], marks: DataFrame | str, before: dict | None = None) -> int:
         """Write output, or several by name of which one is out, and watermarks, then commit all at once; returns the run's number.
-        Of two writers of one run the second to commit gets FileExistsError, and what it wrote is never read."""
+        What is in the store's folder already is given by its name instead. Of two writers of one run the second to commit gets
+        FileExistsError, and what it wrote is never read."""
         before = self.manifest() if before is None else before
         run = before["run"] + 1
         at, now = attempt(run), dict(before)
-        for name, df in (output if isinstance(output, dict) else {"out": output}).items():
-            df.write.parquet(self.folder / f"{name}/{at}")
-            now[name] = now.get(name, {}) | {str(run): at}
-        marks.write.parquet(self.folder / f"marks/{at}")
-        self.folder.commit_json(f"commits/{run}.json", now | {"run": run, "marks": at})
+        parts = (output if isinstance(output, dict) else {"out": output}) | {"marks": marks}
+        for name, df in parts.items():
+            if not isinstance(df, str):
+                df.write.parquet(self.folder / f"{name}/{at}")
+            folder = df if isinstance(df, str) else at
+            now[name] = folder if name == "marks" else now.get(name, {}) | {str(run): folder}
+        self.folder.commit_json(f"commits/{run}.json", now | {"run": run})
         return run
 
     def run(
@@ -94,8 +98,12 @@ class IncrementalStore:
             both = bounds.withColumn("_in", F.lit(True)).join(own.withColumn("_had", F.lit(True)), same, "full_outer")
             keep = [F.when(F.col("_in"), F.col(n)).otherwise(F.col(m)).alias(n) for n, m in zip(names, lows)]
             bounds = both.select(*keep, F.greatest("_top", "_low").alias("_top"), "_low")
-        limits = staged(bounds, self.folder, f"limits/{attempt(before_run['run'] + 1)}")
-        low, new_streams, high = limits.agg(F.min("_low"), F.count_if(F.col("_low").isNull()), F.max("_top")).first()
+        at, seen = attempt(before_run["run"] + 1), Observation()
+        told = [F.min("_low").alias("low"), F.count_if(F.col("_low").isNull()).alias("new"), F.max("_top").alias("high")]
+        # what is written as the limits are the watermarks that this run commits
+        limits = staged(bounds.observe(seen, *told).select(*[F.col(n).alias(c) for c, n in zip(stream, names)], F.col("_top").alias("mark"), "_low"), self.folder, f"marks/{at}")
+        limits = limits.select(*[F.col(c).alias(n) for c, n in zip(stream, names)], F.col("mark").alias("_top"), "_low")
+        low, new_streams, high = (observed(seen, x, None) for x in ("low", "new", "high"))
         rows = read()
         unordered = before is None and first_takes_unordered
         inside = F.lit(True) if high is None else F.col(seq) <= literal(high, kind)
@@ -108,8 +116,7 @@ class IncrementalStore:
             todo = rows.join(limits, same, "left").where(F.col(seq).isNull() | ordered)
         else:
             todo = rows.join(limits, ordered)
-        marks = limits.select(*[F.col(n).alias(c) for c, n in zip(stream, names)], F.col("_top").alias("mark"))
-        return self.commit(step(todo.drop("_top", "_low", *names)), marks, before_run)
+        return self.commit(step(todo.drop("_top", "_low", *names)), at, before_run)
 
 
 def log_runs(log: DataFrame) -> DataFrame:
@@ -195,32 +202,32 @@ def outstanding_in(runs: DataFrame, requests: DataFrame) -> tuple[DataFrame, Dat
     return found.select(*who, lsn), marks
 
 
-def new_records(store: IncrementalStore, rows: DataFrame, name: str = "seen") -> tuple[DataFrame, DataFrame]:
-    """(ns_name, stretch, lo, hi) of the records in rows that no committed run of the store has had, and what the store must
-    commit under name so that later runs know them: (ns_name, shard, bits).
+def new_records(store: IncrementalStore, rows: DataFrame, name: str = "seen") -> tuple[DataFrame, str]:
+    """(ns_name, stretch, lo, hi) of the records in rows that no committed run of the store has had, written to the store; and the
+    name of what was written, which the store must commit under name so that later runs know them.
 
-    A repeated lsn of a namespace is the same record, whenever it arrives again. Only shards that rows touch are compared.
+    A repeated lsn of a namespace is the same record, whenever it arrives again. Only stretches that rows touch are compared, as
+    bitmaps of the unbroken runs that earlier runs wrote.
     """
-    own = rows.where(F.col("lsn").isNotNull()).select("ns_name", "lsn", bitmaps.bucket(F.col("lsn")).alias("shard"))
+    own = rows.where(F.col("lsn").isNotNull()).select("ns_name", "lsn", F.floor(F.col("lsn") / STRETCH).alias("stretch"))
     seen = store.part(name)
     if seen is not None:
-        touched = own.select(F.col("ns_name").alias("t_ns"), F.col("shard").alias("t_shard")).distinct()
-        s = seen.join(touched, F.col("ns_name").eqNullSafe(F.col("t_ns")) & (F.col("shard") == F.col("t_shard")), "left_semi")
-        s = s.groupBy(F.col("ns_name").alias("s_ns"), F.col("shard").alias("s_shard")).agg(F.bitmap_or_agg("bits").alias("bits"))
-        known = F.coalesce(bitmaps.is_set(F.col("bits"), bitmaps.bit(F.col("lsn"))), F.lit(False))
-        own = own.join(s, F.col("ns_name").eqNullSafe(F.col("s_ns")) & (F.col("shard") == F.col("s_shard")), "left").where(~known)
-    runs = staged(log_runs(own), store.folder, f"fresh/{attempt(store.manifest()['run'] + 1)}")
-    places = runs.select("ns_name", F.explode(F.sequence("lo", "hi")).alias("lsn"))
-    bits = places.groupBy("ns_name", bitmaps.bucket(F.col("lsn")).alias("shard")).agg(F.bitmap_construct_agg(bitmaps.bit(F.col("lsn"))).alias("bits"))
-    return runs, bits
-
-
-def outstanding_step(store: IncrementalStore, requests: DataFrame) -> Callable[[DataFrame], dict[str, DataFrame]]:
+        touched = own.select(F.col("ns_name").alias("t_ns"), F.col("stretch").alias("t_stretch")).distinct()
+        s = seen.join(touched, F.col("ns_name").eqNullSafe(F.col("t_ns")) & (F.col("stretch") == F.col("t_stretch")), "left_semi")
+        s = s.select(F.col("ns_name").alias("s_ns"), F.col("stretch").alias("s_stretch"), F.explode(F.sequence("lo", "hi")).alias("n"))
+        s = s.groupBy("s_ns", "s_stretch").agg(F.bitmap_construct_agg(F.col("n") - F.col("s_stretch") * STRETCH).alias("bits"))
+        known = F.coalesce(bitmaps.is_set(F.col("bits"), F.col("lsn") - F.col("stretch") * STRETCH), F.lit(False))
+        own = own.join(s, F.col("ns_name").eqNullSafe(F.col("s_ns")) & (F.col("stretch") == F.col("s_stretch")), "left").where(~known)
+    at = attempt(store.manifest()["run"] + 1)
+    return staged(log_runs(own), store.folder, f"{name}/{at}"), at
+
+
+def outstanding_step(store: IncrementalStore, requests: DataFrame) -> Callable[[DataFrame], dict]:
     """A step for IncrementalStore.run over a log: of the records that are new, those that followers still have to process,
     (consumer_id, ns_name, lsn). No run repeats a record that an earlier one had."""
 
-    def step(rows: DataFrame) -> dict[str, DataFrame]:
-        runs, bits = new_records(store, rows)
-        return {"out": outstanding_in(runs, requests)[0], "seen": bits}
+    def step(rows: DataFrame) -> dict:
+        runs, at = new_records(store, rows)
+        return {"out": outstanding_in(runs, requests)[0], "seen": at}
 
     return step

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions import bitmaps
 from ..session import attempt
-from .parts import PartStore, bucket_of, dense, numbers_of, observed
+from .parts import PartStore, at_once, bucket_of, dense, numbers_of, observed
 
 DICTIONARY = "consumer_id string, ns_name string, code bigint"
 SEEN = "code bigint, shard bigint, bits binary, places array<bigint>, bucket int"
@@ -42,36 +42,42 @@ class DedupStore(PartStore):
     HELD = {"doubtful"}
 
     def manifest(self) -> dict:
-        """The folders of each part, the number of codes, the highest batch_id so far, and whether any run took one below it."""
-        return {"codes": 0, "last_batch": None, "late": False} | super().manifest()
+        """The folders of each part, the number of codes and the bytes of what they stand for, the highest batch_id so far, and whether
+        any run took one below it."""
+        return {"codes": 0, "words": 0, "last_batch": None, "late": False} | super().manifest()
 
-    def _encode(self, batches: DataFrame, before: dict, name: str) -> tuple[DataFrame, int]:
-        """batches with the code of their consumer and namespace, and how many codes there are now. New pairs get the next numbers."""
+    def _encode(self, batches: DataFrame, before: dict, name: str) -> tuple[DataFrame, dict]:
+        """batches with the code of their consumer and namespace, and what the manifest tells after this run. New pairs get the next numbers."""
         old = self.read_part("dictionary", before["dictionary"])
+        counted = Observation()
         pairs = batches.select("consumer_id", "ns_name").distinct()
         o = old.select(F.col("consumer_id").alias("o_c"), F.col("ns_name").alias("o_n"))
         new = pairs.join(o, F.col("consumer_id").eqNullSafe(F.col("o_c")) & F.col("ns_name").eqNullSafe(F.col("o_n")), "left_anti")
-        counted = Observation()
-        new.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(self.folder / f"new_pairs/{name}")
-        staged = self.spark.read.schema("consumer_id string, ns_name string").parquet(self.folder / f"new_pairs/{name}")
-        self.write_part(dense(staged, "code", before["codes"]), "dictionary", name)
+        size = F.coalesce(F.octet_length("consumer_id"), F.lit(0)) + F.coalesce(F.octet_length("ns_name"), F.lit(0)) + 64
+        new.observe(counted, F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).write.parquet(self.folder / f"new_pairs/{name}")
+        n, size = observed(counted, "n", 0), observed(counted, "size", 0) or 0
+        after = before | {"codes": before["codes"] + n, "words": before["words"] + size}
+        if n:
+            staged = self.spark.read.schema("consumer_id string, ns_name string").parquet(self.folder / f"new_pairs/{name}")
+            self.write_part(dense(staged, "code", before["codes"]), "dictionary", name)
+            after["dictionary"] = [*before["dictionary"], name]
         self.folder.delete(f"new_pairs/{name}")
-        words = self.read_part("dictionary", [*before["dictionary"], name]).select(F.col("consumer_id").alias("d_c"), F.col("ns_name").alias("d_n"), "code")
-        size = words.agg(F.sum(F.coalesce(F.octet_length("d_c"), F.lit(0)) + F.coalesce(F.octet_length("d_n"), F.lit(0)) + 64)).first()[0] or 0
-        if size <= self.broadcast_bytes:
+        first, last = batches.agg(F.min("batch_id"), F.max("batch_id")).first()
+        highest = before["last_batch"]
+        after["late"] = before["late"] or (None not in (first, highest) and first <= highest)
+        after["last_batch"] = max((b for b in (last, highest) if b is not None), default=None)
+        words = self.read_part("dictionary", after["dictionary"]).select(F.col("consumer_id").alias("d_c"), F.col("ns_name").alias("d_n"), "code")
+        if after["words"] <= self.broadcast_bytes:
             words = F.broadcast(words)
         same = F.col("consumer_id").eqNullSafe(F.col("d_c")) & F.col("ns_name").eqNullSafe(F.col("d_n"))
-        return batches.join(words, same).drop("d_c", "d_n"), before["codes"] + observed(counted, "n", 0)
+        return batches.join(words, same).drop("d_c", "d_n"), after
 
     def ingest(self, batches: DataFrame) -> int:
         """Take batches (batch_id, consumer_id, ns_name, records); returns the run's number. Null and empty lists hold nothing."""
         before = self.manifest()
         run = before["epoch"] + 1
         name, bucket = attempt(run), bucket_of(SHARD, before)
-        first, last = batches.agg(F.min("batch_id"), F.max("batch_id")).first()
-        highest = before["last_batch"]
-        late = None not in (first, highest) and first <= highest
-        coded, codes = self._encode(batches.select("batch_id", "consumer_id", "ns_name", "records"), before, name)
+        coded, after = self._encode(batches.select("batch_id", "consumer_id", "ns_name", "records"), before, name)
         copies = (
             coded.select("code", "batch_id", F.posexplode("records").alias("rec_pos", "r"))
             .where(F.col("r.lsn").isNotNull())
@@ -86,23 +92,28 @@ class DedupStore(PartStore):
         found = self.spark.read.schema(found.schema).parquet(self.folder / f"picks/{name}")
 
         doubtful = self.read_held("doubtful", before, touched)
-        fresh = self._unsettled(found, before, touched) if before["seen"] else found
         columns = ["code", "lsn", "bad", "batch_id", "rec_pos"]
-        picks = fresh.select(*columns).unionByName(doubtful.select(*columns[:2], F.lit(True).alias("bad"), *columns[3:])).groupBy("code", "lsn").agg(best)
-        picks = picks.select("code", "lsn", "b.*", bucket_of_pick(before).alias("bucket"))
-        picks.write.parquet(self.folder / f"settled/{name}")
-        picks = self.spark.read.schema(picks.schema).parquet(self.folder / f"settled/{name}")
+        picks = found.select(*columns, "bucket")
+        if before["seen"]:
+            fresh = self._unsettled(found, before, touched).select(*columns)
+            picks = fresh.unionByName(doubtful.select(*columns[:2], F.lit(True).alias("bad"), *columns[3:])).groupBy("code", "lsn").agg(best)
+            picks = picks.select("code", "lsn", "b.*", bucket_of_pick(before).alias("bucket"))
+            picks.write.parquet(self.folder / f"settled/{name}")
+            picks = self.spark.read.schema(picks.schema).parquet(self.folder / f"settled/{name}")
         settled = picks.where("NOT bad").drop("bad")
-        replaced = self._replaced(found, before, touched) if late and before["seen"] else None
-        self.write_part(settled if replaced is None else settled.unionByName(replaced), "kept", name)
-        still = self.write_part(picks.where("bad").drop("bad"), "doubtful", name, F.col("bucket"))
-        self.write_part(containers(settled.withColumn("shard", bitmaps.bucket(F.col("lsn")))).withColumn("bucket", bucket), "seen", name)
+        kept = settled
+        if after["late"] and before["seen"]:
+            kept = settled.unionByName(self._replaced(found, before, touched).select(*settled.columns))
+        marked = containers(settled.withColumn("shard", bitmaps.bucket(F.col("lsn")))).withColumn("bucket", bucket)
+        _, _, still = at_once(
+            lambda: self.write_part(kept, "kept", name),
+            lambda: self.write_part(marked, "seen", name),
+            lambda: self.write_part(picks.where("bad").drop("bad"), "doubtful", name, F.col("bucket")),
+        )
         self.folder.delete(f"picks/{name}")
         self.folder.delete(f"settled/{name}")
-        top = max((b for b in (last, highest) if b is not None), default=None)
-        added = {p: [*before[p], name] for p in ("dictionary", "seen", "kept")}
-        held = self.held_after(before["doubtful"], touched, name, still)
-        return self.commit(before | {"epoch": run, "codes": codes, "last_batch": top, "late": before["late"] or late, "doubtful": held} | added)
+        added = {p: [*before[p], name] for p in ("seen", "kept")}
+        return self.commit(after | {"epoch": run, "doubtful": self.held_after(before["doubtful"], touched, name, still)} | added)
 
     def _unsettled(self, found: DataFrame, before: dict, touched: list[int]) -> DataFrame:
         """Picks whose message no earlier run has settled."""

@@ -7,6 +7,9 @@ by the hash of some columns, a sub-folder each, and sorted inside.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F, types as T
 
@@ -97,8 +100,15 @@ class PartStore:
                     self.folder.delete(f"{part}/{folder}")
 
 
+def at_once(*jobs: Callable[[], object]) -> list:
+    """The results of jobs that don't depend on each other, run side by side, so that one's last tasks don't hold up another's first."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(j) for j in jobs]]
+
+
 def observed(observation: Observation, name: str, empty):
-    """What was observed; empty where Spark knew the rows to be none and left out the plan with its observation."""
+    """What was observed of the rows that are written or returned; empty where Spark knew them to be none and left out the plan with
+    its observation. What is observed further inside a plan can be left out with rows that there are, and is of no use."""
     try:
         return observation.get[name]
     except Py4JJavaError as e:
